@@ -67,7 +67,8 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     long = quantiles.percentiles(counts, keys, wanted)
 
     def of(measure: str, column: str) -> F.Column:
-        return F.max(F.when(F.col("measure") == measure, F.col(column)))
+        found = F.max(F.when(F.col("measure") == measure, F.col(column)))
+        return found if column == "n" else F.round(found, 6)
 
     out = [of("length", "n").alias("n_comments")] + [of("length", c).alias(f"{c}_comment_length") for c in wanted]
     out += [of("latency", "n").alias("n_replied")] + [of("latency", c).alias(f"{c}_first_reply_latency_hours") for c in wanted]

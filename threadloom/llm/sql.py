@@ -47,8 +47,8 @@ b as (select measure, subreddit, month, case when x = 0 then 0 else sign(x) * (c
 w as (select *, sum(n) over (partition by measure, subreddit, month order by bucket) as upto, sum(n) over (partition by measure, subreddit, month) as total,
   case when bucket = 0 then 0.0 else sign(bucket) * {2 / (_G + 1)!r} * pow({_G!r}, abs(bucket) - {_O}) end as value from b),
 p as (select measure, subreddit, month, max(total) as n, {_PARTS} from w group by 1, 2, 3)
-select subreddit, month, cast(max(n) filter (measure = 'length') as bigint) as n_comments, {', '.join(f"max({c}) filter (measure = 'length') as {c}_comment_length" for c in _WANTED)},
-  cast(max(n) filter (measure = 'latency') as bigint) as n_replied, {', '.join(f"max({c}) filter (measure = 'latency') as {c}_first_reply_latency_hours" for c in _WANTED)}
+select subreddit, month, cast(max(n) filter (measure = 'length') as bigint) as n_comments, {', '.join(f"round(max({c}) filter (measure = 'length'), 6) as {c}_comment_length" for c in _WANTED)},
+  cast(max(n) filter (measure = 'latency') as bigint) as n_replied, {', '.join(f"round(max({c}) filter (measure = 'latency'), 6) as {c}_first_reply_latency_hours" for c in _WANTED)}
 from p group by 1, 2"""
 
 ORACLE = {"p5_distinct_authors": DISTINCT, "p6_percentiles": PERCENTILES}
