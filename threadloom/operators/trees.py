@@ -86,10 +86,10 @@ def resolve_forest(nodes: DataFrame) -> Forest:
     known = inner.select(F.col("id").alias("a_id"))
     state = F.when(F.col("a_id").isNotNull(), OPEN).when(F.col("root").isNotNull(), RESOLVED).when(F.col("ptr").isNotNull(), ORPHAN).otherwise(MALFORMED)
     first = inner.join(known, F.col("ptr") == F.col("a_id"), "left")
-    current = scratch.save(first.select("id", F.col("ptr").alias("up"), F.col("a_id").alias("ptr"), state.alias("state"), "root", F.lit(1).cast("long").alias("level"), F.col("id").alias("low")), "round")
+    first = first.select("id", F.col("ptr").alias("up"), F.col("a_id").alias("ptr"), state.alias("state"), "root", F.lit(1).cast("long").alias("level"), F.col("id").alias("low"))
     is_open = F.col("state") == OPEN
-    ended = [current.where(~is_open)]
-    left, rounds = current.where(is_open).count(), 0
+    current, left = scratch.save_counting(first, "round", is_open)
+    ended, rounds = [current.where(~is_open)], 0
     while left:
         opened = current.where(is_open)
         above = prefixed(union_all([opened, *ended]).select("id", "ptr", "state", "root", "level", "low"))
@@ -97,9 +97,9 @@ def resolve_forest(nodes: DataFrame) -> Forest:
             "id", "up", F.col("a_ptr").alias("ptr"), F.col("a_state").alias("state"), F.col("a_root").alias("root"),
             (F.col("level") + F.col("a_level")).alias("level"), F.least("low", "a_low").alias("low"),
         )
-        current = scratch.save(step, "round")
+        before = left
+        current, left = scratch.save_counting(step, "round", is_open)
         rounds += 1
-        before, left = left, current.where(is_open).count()
         if left == before:  # nothing ended, so all that is open circles
             break
         ended.append(current.where(~is_open))
@@ -110,13 +110,16 @@ def resolve_forest(nodes: DataFrame) -> Forest:
         none = circling.select("id", F.col("low").alias("cycle_id"))
         return Forest(nodes, finished, none, none, rounds, scratch)
 
-    def double(rows: DataFrame, name: str) -> DataFrame:
+    def double(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Pointers of twice the length, and how many minima fell."""
         joined = rows.join(prefixed(rows), F.col("ptr") == F.col("a_id"))
-        return scratch.save(joined.select("id", F.col("a_ptr").alias("ptr"), F.least("low", "a_low").alias("low"), (F.col("a_low") < F.col("low")).alias("moved")), name)
+        step = joined.select("id", F.col("a_ptr").alias("ptr"), F.least("low", "a_low").alias("low"), (F.col("a_low") < F.col("low")).alias("moved"))
+        after, moved = scratch.save_counting(step, name, F.col("moved"))
+        return after.select("id", "ptr", "low"), moved
 
     image = circling.select("ptr").distinct().count()
     while True:
-        circling = double(circling, "circling").select("id", "ptr", "low")
+        circling, _ = double(circling, "circling")
         rounds += 1
         now = circling.select("ptr").distinct().count()
         if now == image:
@@ -125,9 +128,7 @@ def resolve_forest(nodes: DataFrame) -> Forest:
     tops = circling.select(F.col("ptr").alias("id")).distinct()
     cycles = scratch.save(circling.join(tops, "id", "left_semi"), "cycles")
     while True:  # until no minimum falls: it then covers the whole circle
-        following = double(cycles, "cycles")
-        moved = following.where("moved").limit(1).count()
-        cycles = following.select("id", "ptr", "low")
+        cycles, moved = double(cycles, "cycles")
         rounds += 1
         if not moved:
             break
@@ -142,18 +143,19 @@ def inner_paths(forest: Forest) -> DataFrame:
 
     It runs after the cycles are known, because on a cycle a path would double for ever.
     """
-    way = forest.ended.select("*", F.when(F.col("level") > 1, F.col("ptr")).alias("jump"), F.array("id").alias("path"))
-    current, done = way, []
     is_open = F.col("jump").isNotNull()
-    while True:
-        done.append(current.where(~is_open))
+    way = forest.ended.select("*", F.when(F.col("level") > 1, F.col("ptr")).alias("jump"), F.array("id").alias("path"))
+    current, done = way, [way.where(~is_open)]
+    left = 1
+    while left:
         opened = current.where(is_open)
-        if not opened.limit(1).count():
-            return union_all(done).drop("jump")
         above = prefixed(union_all([opened, *done]).select("id", "jump", "path"))
         step = opened.join(above, F.col("jump") == F.col("a_id"))
         columns = [c for c in opened.columns if c not in ("jump", "path")]
-        current = forest.scratch.save(step.select(*columns, F.col("a_jump").alias("jump"), F.concat("a_path", "path").alias("path")), "paths")
+        step = step.select(*columns, F.col("a_jump").alias("jump"), F.concat("a_path", "path").alias("path"))
+        current, left = forest.scratch.save_counting(step, "paths", is_open)
+        done.append(current.where(~is_open))
+    return union_all(done).drop("jump")
 
 
 def hierarchy(forest: Forest, paths: bool = True) -> DataFrame:
@@ -164,6 +166,7 @@ def hierarchy(forest: Forest, paths: bool = True) -> DataFrame:
     """
     none = {"state": "string", "root": "string", "level": "long", "path": "array<string>"}
     nothing = [F.lit(None).cast(kind).alias(c) for c, kind in none.items() if c != "state"]
+    forest.ended = forest.scratch.save(forest.ended, "ended")  # read several times from here on, and in one part
     ended = inner_paths(forest) if paths else forest.ended.withColumn("path", F.lit(None).cast("array<string>"))
     inner = ended.select("id", "state", "root", "level", "path", F.lit(None).cast("string").alias("cycle_id"))
     inner = inner.unionByName(forest.cycles.select("id", F.lit(CYCLE).alias("state"), *nothing, "cycle_id"))
@@ -192,7 +195,11 @@ def descendants(nodes: DataFrame) -> DataFrame:
 
 
 def with_descendant_counts(nodes: DataFrame) -> DataFrame:
-    """Adds ``n_descendants``; null on or below a cycle, where descent is not a tree."""
+    """Adds ``n_descendants``; null on or below a cycle, where descent is not a tree.
+
+    The nodes are written once, because they are read for their paths and for themselves.
+    """
+    nodes = Scratch(nodes.sparkSession).save(nodes, "nodes")
     counts = descendants(nodes).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     n = F.when(F.col("path").isNotNull(), F.coalesce("n", F.lit(0)))
     return nodes.join(counts, "id", "left").withColumn("n_descendants", n).drop("n")

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,6 +66,12 @@ class Scratch:
         out._threadloom_path = path
         return out
 
+    def save_counting(self, df: DataFrame, name: str, rule: Column) -> tuple[DataFrame, int]:
+        """The same, with the number of written rows for which the rule holds, counted while writing."""
+        seen = Observation()
+        out = self.save(df.observe(seen, F.count(F.when(rule, 1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
             if table is not None and getattr(table, "_threadloom_path", None):
