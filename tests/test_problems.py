@@ -179,7 +179,7 @@ DELIVERIES = [(1, "t3_A", 5), (2, " a ", 3), (3, "T3_a", 3), (4, None, 1), (5, "
 def deliveries(spark):
     t = dt.datetime(2022, 1, 1)
     data = [(i, s, None if h is None else t + dt.timedelta(hours=h)) for i, s, h in DELIVERIES]
-    return spark.createDataFrame(data, "delivery_id long, submission_id string, received_at timestamp").withColumn("__other", F.lit(0))
+    return spark.createDataFrame(data, "delivery_id long, submission_id string, received_at timestamp").withColumn("__key", F.lit(0)).withColumn("__row", F.lit(1))
 
 
 def test_redelivery(spark):

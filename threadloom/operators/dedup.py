@@ -11,15 +11,19 @@ def delivery_order(time: Column, tie: Column) -> Column:
     return F.struct(time.isNull(), time, tie.isNull(), tie)
 
 
-def first_delivery(df: DataFrame, key: Column, time: str, tie: str, carry: list[str]) -> DataFrame:
-    """One row per key with the carried columns of its first delivery.
+def first_rows(df: DataFrame, key: Column, time: str, tie: str, carry: list[str]) -> DataFrame:
+    """``__key`` and ``__row`` with the carried columns of each key's first delivery.
 
     ``min_by`` over a struct of delivery time and tie-break is merged map-side, so a key with a
     third of all rows sends one partial row per task.  Rows with a null key are left out.
     """
     keyed = df.select(key.alias("__key"), F.struct(*[F.col(c) for c in carry]).alias("__row"), delivery_order(F.col(time), F.col(tie)).alias("__order"))
-    kept = keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min_by("__row", "__order").alias("__row"))
-    return kept.select("__key", "__row.*")
+    return keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min_by("__row", "__order").alias("__row"))
+
+
+def first_delivery(df: DataFrame, key: Column, time: str, tie: str, carry: list[str]) -> DataFrame:
+    """``__key`` and the carried columns of each key's first delivery."""
+    return first_rows(df, key, time, tie, carry).select("__key", "__row.*")
 
 
 def surplus_deliveries(df: DataFrame, key: Column, time: str, tie: str) -> DataFrame:
@@ -39,5 +43,5 @@ def keep_first(df: DataFrame, key: Column, time: str, tie: str) -> DataFrame:
     Repeated rows that agree even in the tie-break collapse to one.
     """
     columns = df.columns
-    kept = first_delivery(df, key, time, tie, columns).select(*columns)
+    kept = first_rows(df, key, time, tie, columns).select("__row.*")
     return kept.unionByName(df.where(key.isNull()))
