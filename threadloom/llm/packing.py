@@ -123,7 +123,7 @@ def pack(counts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, shard
 
     Only a text longer than the capacity is split: into full containers and one rest, which is an
     item like any other.  A text without tokens takes no space: piece 0 with container null.  Items
-    are dealt to shards by a hash of their key, so each shard sees them in random order, equal texts
+    are dealt to shards by a hash of key and piece, so each shard sees them in random order, equal texts
     spread, and no shard depends on the number of rows of any group; a shard's work is bounded by its
     number of items.  Every shard leaves at most a few containers unfilled.
     """
@@ -135,9 +135,10 @@ def pack(counts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, shard
     pieces = counts.select(key, "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     pieces = pieces.select(key, "piece", start.alias("token_start"), F.least(F.col("n_tokens") - start, F.lit(capacity).cast("long")).alias("n_tokens"))
-    shards = max(1, -(-counts.count() // shard_items))
+    n_items = counts.agg(F.coalesce(F.sum(last + 1), F.lit(0)).alias("n")).first().n
+    shards = max(1, -(-n_items // shard_items))
     order = F.xxhash64(key, "piece")
-    items = pieces.where("n_tokens > 0").withColumn("__order", order).withColumn("__shard", F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(shards)))
+    items = pieces.where("n_tokens > 0").withColumn("__order", order).withColumn("__shard", F.pmod(F.xxhash64(F.lit(17), F.col(key), F.col("piece")), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__order", "__key", "piece"], kind="stable")
