@@ -171,6 +171,9 @@ def test_rank_statistics(spark):
     split = resilience.median_split(df, "x")
     assert sorted((r.subreddit, r.group) for r in split.collect()) == [("a", "low"), ("b", "low"), ("c", "high"), ("d", "high")]
     assert resilience.mann_whitney(split, "group", "y").first().u == 4.0
+    p = {r.test: r for r in resilience.statistics(df, "x", "y").collect()}
+    assert p["mann_whitney_u"].p_value == pytest.approx(1 / 3) and 0 < p["spearman"].p_value < 1 and 0 < p["ols_slope"].p_value < 1
+    assert [r.n for r in resilience.statistics(df.limit(0), "x", "y").collect()] == [0, 0, 0]
     flat = resilience.median_split(df.withColumn("x", F.lit(1.0)), "x")
     assert sorted(r.group for r in flat.collect()) == ["high", "high", "low", "low"]
 

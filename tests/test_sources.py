@@ -159,3 +159,13 @@ def test_thread_key(spark):
     df = spark.createDataFrame([("c1", "t3_s1", None), ("c2", None, "t3_s2"), ("c3", None, "t1_x")], "id string, link_id string, parent_id string")
     assert [r.k for r in df.select(jsonl.thread_key("comments").alias("k")).collect()] == ["s1", "s2", "c3"]
     assert [r.k for r in df.select(F.coalesce(jsonl.thread_key("submissions")).alias("k")).collect()] == ["c1", "c2", "c3"]
+
+
+def test_thread_shards_and_check(spark, tmp_path):
+    df = spark.createDataFrame([(f"c{k}", f"t3_s{k % 3}", None) for k in range(12)] + [(None, None, None)], "id string, link_id string, parent_id string")
+    jsonl.write_thread_shards(df, "comments", 4, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 12 and back.groupBy("link_id").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+    assert jsonl.check_table(back, {"id": "string", "shard": "int"}, ["id"]) == []
+    assert jsonl.check_table(df.limit(0), {"id": "int", "x": "int"}) == ["no column x", "id is string, not int", "no rows"]
+    assert jsonl.check_table(back.select("link_id"), {}, ["link_id"]) == ["repeated link_id"]

@@ -357,6 +357,19 @@ def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resilience.mann_whitney(resilience.median_split(profiles(spark, d)[0], "threading_ratio"), "group", "pct_change"))
 
 
+@query
+def resilience_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation, slope and rank-sum test of threading and change with their p-values."""
+    return rounded(resilience.statistics(profiles(spark, d)[0], "threading_ratio", "pct_change"))
+
+
+@query
+def smallest_p_values(spark: SparkSession, d: str) -> DataFrame:
+    """The five smallest p-values of the effect models."""
+    fits = models.twfe_did(a.stored_panel(spark, d))
+    return rounded(fits.where(F.col("p_value").isNotNull()).orderBy("p_value", "outcome_name", "model").limit(5))
+
+
 @query
 def growth_terciles(spark: SparkSession, d: str) -> DataFrame:
     """Growth of health communities and its tercile."""
@@ -462,6 +475,16 @@ def interaction_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return models.bh_fdr(fits, "p_value", ["model"])
 
 
+@query
+def interaction_pretrend(spark: SparkSession, d: str) -> DataFrame:
+    """Joint test of leads and event-study peak for the interaction indices."""
+    outcomes = ["bond_index", "identity_index"]
+    rows = interactions(spark, d).join(a.stored_panel(spark, d).select("subreddit", "month", "community_type", "comments", "submissions"), ["subreddit", "month"])
+    rows = Scratch(spark).save(rows, "outcomes")
+    peaks = models.event_study(rows, outcomes).groupBy("outcome_name").agg(F.max(F.abs("estimate")).alias("largest_estimate"), F.count(F.lit(1)).alias("bins"))
+    return rounded(models.pretrend_test(rows, outcomes).join(peaks, "outcome_name"))
+
+
 @query
 def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     """Benjamini-Hochberg q-values of made-up p-values: shares of the stored panel's cells per community."""

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.columns import epoch_month, epoch_seconds, strip
+from threadloom.functions.columns import epoch_month, epoch_seconds, shard_of, strip
 
 WINDOW = 1 << 31  # archives use longer windows than the built-in codec allows
 BATCH_LINES = 20_000
@@ -213,5 +213,27 @@ def thread_key(kind: str) -> Column:
     return F.coalesce(strip3(F.col("link_id")), strip3(F.col("parent_id")), F.col("id"))
 
 
+def write_thread_shards(records: DataFrame, kind: str, shards: int, path: str) -> None:
+    """Parquet partitioned by ``shard`` = CRC-32 of the thread modulo ``shards``; all records of a thread share a shard.
+
+    Rows are spread over tasks as they come and not by shard, so one huge thread fills no single task.
+    Records without any id are left out.
+    """
+    key = thread_key(kind)
+    placed = records.withColumn("shard", shard_of(key, shards)).where(F.col("shard").isNotNull())
+    placed.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
+def check_table(df: DataFrame, columns: dict[str, str], keys: Sequence[str] = ()) -> list[str]:
+    """What is wrong with a stored table: missing columns, other types, no rows, repeated keys."""
+    kinds = dict(df.dtypes)
+    wrong = [f"no column {c}" for c in columns if c not in kinds] + [f"{c} is {kinds[c]}, not {k}" for c, k in columns.items() if c in kinds and kinds[c] != k]
+    if not df.limit(1).count():
+        wrong.append("no rows")
+    elif keys and not wrong and df.groupBy(*keys).count().where("count > 1").limit(1).count():
+        wrong.append(f"repeated {', '.join(keys)}")
+    return wrong
+
+
 def monthly_coverage(records: DataFrame) -> DataFrame:
     return records.groupBy(epoch_month(F.col("created_utc")).alias("month")).agg(F.count(F.lit(1)).alias("rows"))
