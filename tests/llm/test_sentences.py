@@ -59,7 +59,7 @@ def test_edges():
     ends = S.Segmenter().ends
     assert ends(None) == [] and ends("") == [] and ends(" \n\t ") == []
     assert ends("[deleted]") == [9] and ends(" [Removed] \n") == [10]
-    assert ends("word") == [4] and ends("...") == [3] and ends("a (b. c") == [5, 7] or ends("a (b. c")[-1] == 7
+    assert ends("word") == [4] and ends("...") == [3] and ends("a (b. c") == [7] and ends("A (bed. Cup") == [7, 11]
     long = "It works. " * 20000
     assert len(ends(long)) == 20000
 
@@ -75,7 +75,7 @@ def test_corpus_decisions(spark):
     docs = [(k, f"We met in bldx. {k} and bldx. two, and then Arrowen said no. The plan was fine.") for k in range(6)] + [(9, "On the whole we met Arrowen and the dog.")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.token: r.kind for r in S.corpus_decisions(df).collect()}
-    assert got["bldx"] == "abbreviation" and got["arrowen"] == "name" and got.get("met") == "common" or got.get("met") is None
+    assert got["bldx"] == "abbreviation" and got["arrowen"] == "name" and "said" not in {k for k, v in got.items() if v == "abbreviation"}
 
 
 def test_sentence_ends(spark):
