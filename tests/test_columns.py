@@ -30,7 +30,7 @@ def test_authors(spark):
 
 def test_times(spark):
     assert one(spark, "1654100000.7", c.epoch_seconds) == 1654100000
-    assert one(spark, "inf", c.epoch_seconds) is None or True
+    assert one(spark, "inf", c.epoch_seconds) is None
     assert one(spark, "x", c.epoch_seconds) is None
     assert one(spark, 0, c.epoch_month, "long") == "1970-01"
     assert one(spark, -1, c.epoch_month, "long") == "1969-12"
@@ -51,5 +51,5 @@ def test_tails():
     assert abs(stats.chi2_sf(18.30703805, 10) - 0.05) < 1e-9
     assert abs(stats.t_two_sided(2.228138852, 10) - 0.05) < 1e-9
     assert abs(stats.mann_whitney_p(0, 3, 3, []) - 0.1) < 1e-12
-    assert abs(stats.mann_whitney_p(4, 4, 5, []) - 2 * 12 / 126) < 1e-9 or stats.mann_whitney_p(4, 4, 5, []) > 0.05
+    assert abs(stats.mann_whitney_p(4, 4, 5, []) - 2 * 12 / 126) < 1e-9
     assert stats.spearman_p(1.0, 5) == 0.0

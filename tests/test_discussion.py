@@ -156,6 +156,12 @@ def test_samples(spark):
     assert content.order_free_sample(df, 500, F.col("id")).count() == 100
 
 
+def test_coding_rows(spark):
+    df = spark.createDataFrame([(1, "how are you"), (2, None), (3, "[removed]")], "id long, body string").withColumn("text", F.lit("clash"))
+    got = content.coding_rows(df, ["id"], F.col("body")).collect()
+    assert [(r.id, r.text, r.question, r.manual_question) for r in got] == [(1, "how are you", 1, None)]
+
+
 def test_validation_report(spark):
     df = spark.createDataFrame([(True, 1), (True, 0), (False, 1), (True, None)], "p boolean, m int")
     r = content.validation_report(df, {"x": (F.col("p"), F.col("m"))}).first()

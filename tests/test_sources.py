@@ -6,7 +6,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from threadloom.session import Scratch, shared_dir
-from threadloom.sources import jsonl, reports
+from threadloom.sources import jsonl, reports, tables
 from threadloom.streaming import incremental
 
 RECORDS = [
@@ -100,6 +100,10 @@ def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("b", 1.26, None), ("a", 2.0, 1)], "k string, v double, n int")
     assert open(reports.write_csv(df, str(tmp_path / "t.csv"), ["k"], {"v": 1})).read().split() == ["k,v,n", "a,2.0,1", "b,1.3,"]
     assert "x,\"[1, 2]\"" in open(reports.write_summary({"x": [1, 2], "y": None}, str(tmp_path / "s.csv"))).read()
+    back = tables.read_csv(spark, str(tmp_path / "t.csv"), "k string, v double, n int")
+    assert [tuple(r) for r in back.orderBy("k").collect()] == [("a", 2.0, 1), ("b", 1.3, None)]
+    stats = spark.createDataFrame([("x", 3, 2), ("y", 1, 0)], "file string, rows_read long, rows_written long")
+    assert json.load(open(reports.write_manifest(stats, str(tmp_path / "m.json"), tag="t")))["totals"] == {"rows_read": 4, "rows_written": 2}
     with pytest.raises(ValueError):
         reports.bounded_rows(df, limit=1)
 

@@ -107,3 +107,15 @@ def stratified_sample(df: DataFrame, strata: list[str], per_stratum: int, key: C
     """The rows with the smallest seeded hash in each stratum; the group limit is applied before the shuffle."""
     order = Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), key), key)
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_stratum).drop("rank")
+
+
+MANUAL = ("manual_question", "manual_experience", "manual_support", "manual_medical")
+
+
+def coding_rows(sample: DataFrame, keep: list[str], text: Column, manual: tuple[str, ...] = MANUAL, patterns: Mapping[str, str] = PATTERNS) -> DataFrame:
+    """A sample laid out for hand coding: the kept columns, whole text, proxies, and empty columns to fill in.
+
+    Placeholders and blank texts are left out, as the proxies don't judge them.
+    """
+    rows = sample.select(*keep, F.coalesce(text, F.lit("")).alias("text")).where((strip(F.col("text")) != "") & ~is_placeholder(F.col("text")))
+    return text_flags(rows, F.col("text"), patterns).select("*", *[F.lit(None).cast("int").alias(m) for m in manual])

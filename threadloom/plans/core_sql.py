@@ -202,7 +202,7 @@ LEVEL = "select '{0}' as level, {1} as subreddit, {2} as month, count(*) as n, m
 
 _ROUNDED = {
     "panel_base": f"""{PLAIN}, {CELLS}, {calendar("select subreddit, month from sc union all select subreddit, month from cc")}
-select grid.subreddit, grid.month, {', '.join(f'round(coalesce({t}.{c}, 0), 6) as {c}' if c.startswith(('mean', 'removed', 'median')) else f'coalesce({t}.{c}, 0) as {c}' for t, cs in zip(('sc', 'cc'), PANEL_COLUMNS) for c in cs)}, 0.0 as mean_selftext_length,
+select grid.subreddit, grid.month, {', '.join(f'round(coalesce({t}.{c}, 0), 6) as {c}' if c.startswith(('mean', 'removed', 'median')) else f'coalesce({t}.{c}, 0) as {c}' for t, cs in zip(('sc', 'cc'), PANEL_COLUMNS) for c in cs)}, cast(0.0 as double) as mean_selftext_length,
   round({ratio('coalesce(comments, 0)', 'coalesce(submissions, 0)')}, 6) as comments_per_submission, {idx('grid.month')} - {2022 * 12 + 10} as months_since, cast(grid.month >= '2022-11' as int) as post
 from grid left join sc on sc.subreddit = grid.subreddit and sc.month = grid.month left join cc on cc.subreddit = grid.subreddit and cc.month = grid.month""",
     "describe_counts": f"with {S} {LEVEL.format('all', 'cast(null as varchar)', 'cast(null as varchar)')} union all {LEVEL.format('community', 'subreddit', 'null')} group by subreddit union all {LEVEL.format('month', 'null', 'month')} where month is not null group by month union all {LEVEL.format('community_month', 'subreddit', chr(99) + 'oalesce(month, ' + chr(39) + 'unknown' + chr(39) + ')')} group by subreddit, coalesce(month, 'unknown')",

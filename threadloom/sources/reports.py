@@ -87,3 +87,13 @@ def run_report(stages: Mapping[str, Callable[[], DataFrame]], path: str) -> dict
         if error:
             raise error
     return state
+
+
+def write_manifest(stats: DataFrame, path: str, **facts: object) -> str:
+    """JSON manifest of per-file statistics (a row per file) with totals and further facts."""
+    rows = [r.asDict() for r in bounded_rows(stats, ["file"])]
+    totals = {c: sum(r[c] or 0 for r in rows) for c in ("rows_read", "rows_written") if c in stats.columns}
+    with open(path + ".part", "w", encoding="utf-8") as out:
+        json.dump({"files": rows, "totals": totals, **facts}, out, indent=1, sort_keys=True)
+    os.replace(path + ".part", path)
+    return path

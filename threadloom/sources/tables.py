@@ -8,3 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` in a folder; columns and filters are pushed into its scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with header under a given schema; no inference, so the file is read once.  Empty fields are null."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
