@@ -188,6 +188,16 @@ def hierarchy(forest: Forest, paths: bool = True) -> DataFrame:
     return every.withColumn("depth", F.when(F.col("state") == RESOLVED, F.col("level")))
 
 
+def below_cycles(forest: Forest) -> DataFrame:
+    """The trees that hang off circles, as ``hierarchy`` gives them: ``path`` and ``level`` count from the node right below the circle.
+
+    Their tops name a parent on the circle, which is left out, so they come out like orphans.
+    """
+    circling = forest.cycles.unionByName(forest.below).select(F.col("id").alias("ptr"))
+    nodes = forest.nodes.select("id", "ptr", "root").join(circling, "ptr", "left_semi").join(forest.cycles.select("id"), "id", "left_anti")
+    return hierarchy(resolve_forest(nodes))
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
     """``ancestor``, ``descendant``, ``distance`` for every pair on a path, read off the paths without a join."""
     pairs = nodes.where(F.col("path").isNotNull()).select(F.col("id").alias("descendant"), "level", F.posexplode("path").alias("pos", "ancestor"))

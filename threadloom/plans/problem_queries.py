@@ -49,14 +49,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Path, depth, root, state and number of descendants of every comment."""
-    nodes = trees.with_descendant_counts(trees.hierarchy(comment_forest(spark, d)))
-    return nodes.select(F.col("id").alias("comment_id"), "state", "root", "level", "depth", F.array_join("path", "/").alias("path"), "cycle_id", "n_descendants")
+    """Path, depth, root, state and number of descendants of every comment; only comments on a circle have no number."""
+    forest = comment_forest(spark, d)
+    nodes = trees.with_descendant_counts(trees.hierarchy(forest))
+    below = trees.with_descendant_counts(trees.below_cycles(forest)).select("id", F.col("n_descendants").alias("n_below"))
+    n = F.coalesce("n_descendants", "n_below").alias("n_descendants")
+    return nodes.join(below, "id", "left").select(F.col("id").alias("comment_id"), "state", "root", "level", "depth", F.array_join("path", "/").alias("path"), "cycle_id", n)
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of comment and descendant with their distance."""
-    return trees.descendants(trees.hierarchy(comment_forest(spark, d)))
+    """Every pair of comment and descendant with their distance; comments on a circle are in no pair."""
+    forest = comment_forest(spark, d)
+    return trees.descendants(trees.hierarchy(forest)).unionByName(trees.descendants(trees.below_cycles(forest)))
 
 
 def p2_max_depth(spark: SparkSession, d: str) -> DataFrame:
