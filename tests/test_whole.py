@@ -2,7 +2,8 @@
 
 import pytest
 
-from threadloom.plans import problem_queries
+from threadloom.operators import models, threads
+from threadloom.plans import core_queries, problem_queries
 
 
 @pytest.fixture
@@ -18,3 +19,12 @@ def test_descendants_below_a_circle(spark, comments, rows):
     assert rows(problem_queries.p2_descendants(spark, comments), "ancestor", "descendant", "distance") == want
     got = {r.comment_id: r.n_descendants for r in problem_queries.p2_hierarchy(spark, comments).collect()}
     assert got == {"a": None, "b": None, "c": 3, "d": 2, "e": 0, "f": 0, "g": 0, "x": 1, "y": 0}
+
+
+def test_author_history_warm_up(spark):
+    columns = list(dict.fromkeys([*threads.BOND, *threads.IDENTITY]))
+    values = {f"2022-{m:02d}": 100.0 if m <= 6 else float(m) for m in range(1, 13)}  # the first six months would spoil the reference
+    df = spark.createDataFrame([("s", m, *[v] * len(columns)) for m, v in values.items()], ", ".join(["subreddit string", "month string", *[f"{c} double" for c in columns]]))
+    got = {r.month: r for r in threads.interaction_indices(df, core_queries.WARM_UP, "2022-11").collect()}
+    assert [got[m].author_history_observed for m in sorted(got)] == [0] * 6 + [1] * 6
+    assert got["2022-12"].bond_index == pytest.approx(4 * (12 - 8.5) / 1.25**0.5)

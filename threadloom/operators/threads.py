@@ -173,16 +173,16 @@ def zscores(df: DataFrame, columns: list[str], active, reference, fallback) -> D
 
 
 def interaction_indices(monthly: DataFrame, warm_up: int, cutoff: str) -> DataFrame:
-    """Adds ``bond_index`` and ``identity_index``: signed sums of z-scores against the pre-period.
+    """Adds ``author_history_observed`` and ``bond_index`` and ``identity_index``: signed sums of z-scores against the pre-period.
 
-    The reference are active rows before the cutoff with at least ``warm_up`` earlier months in the
+    ``monthly`` is a dense grid.  History is observed from ``warm_up`` months after the first on.  The reference are active rows before the cutoff with at least ``warm_up`` earlier months in the
     panel; without any, all active rows before it.
     """
     columns = list(dict.fromkeys([*BOND, *IDENTITY]))
     order = Window.partitionBy("subreddit").orderBy("month")
-    rows = monthly.withColumn("seen", F.row_number().over(order) - 1)
+    rows = monthly.withColumn("author_history_observed", (F.row_number().over(order) > warm_up).cast("int"))
     active = F.col("unique_authors") > 0
     early = active & (F.col("month") < cutoff)
-    scored = zscores(rows, columns, active, early & (F.col("seen") >= warm_up), early)
+    scored = zscores(rows, columns, active, early & (F.col("author_history_observed") == 1), early)
     total = lambda signs: sum((F.col(f"z_{c}") * s for c, s in signs.items()), F.lit(0.0))
-    return scored.withColumns({"bond_index": total(BOND), "identity_index": total(IDENTITY)}).drop("seen", *[f"z_{c}" for c in columns])
+    return scored.withColumns({"bond_index": total(BOND), "identity_index": total(IDENTITY)}).drop(*[f"z_{c}" for c in columns])

@@ -13,6 +13,7 @@ from threadloom.sources.canonical import load
 from threadloom.sources.jsonl import months_between
 from threadloom.sources.tables import table
 
+WARM_UP = 6  # months in which nearly all authors look new
 QUERIES = {}
 
 
@@ -204,7 +205,7 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
     grid = describe.dense_grid(history, shapes, pairs)
     rows = describe.on_grid(describe.on_grid(describe.on_grid(grid, history), shapes), pairs)
     rows = scratch.save(rows, "interactions")  # read once per scalar of the reference
-    return scratch.save(threads.interaction_indices(rows, 1, "2022-11"), "indices")
+    return scratch.save(threads.interaction_indices(rows, WARM_UP, "2022-11"), "indices")
 
 
 @query
