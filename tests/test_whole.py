@@ -28,3 +28,31 @@ def test_author_history_warm_up(spark):
     got = {r.month: r for r in threads.interaction_indices(df, core_queries.WARM_UP, "2022-11").collect()}
     assert [got[m].author_history_observed for m in sorted(got)] == [0] * 6 + [1] * 6
     assert got["2022-12"].bond_index == pytest.approx(4 * (12 - 8.5) / 1.25**0.5)
+
+
+@pytest.fixture
+def made_interactions(spark, monkeypatch):
+    """Sixteen months of eight communities whose measures are partly negative; the first two are warm-up."""
+    months = [f"2022-{m:02d}" for m in range(5, 13)] + [f"2023-{m:02d}" for m in range(1, 9)]
+    names = core_queries.INTERACTION_OUTCOMES
+    value = lambda k, m, j: float((7 * k + 5 * m * (j + 1) + k * m * m) % 11 - 5 + (3 if k < 4 and m >= 7 else 0))
+    data = [(f"c{k}", t, int(m >= 2), *[value(k, m, j) for j in range(len(names))]) for k in range(8) for m, t in enumerate(months)]
+    cells = spark.createDataFrame(data, ", ".join(["subreddit string", "month string", "author_history_observed int", *[f"{n} double" for n in names]]))
+    stored = spark.createDataFrame([(r[0], r[1], "health" if r[0] < "c4" else "general", 10, 2) for r in data], "subreddit string, month string, community_type string, comments long, submissions long")
+    monkeypatch.setattr(core_queries, "interactions", lambda *_: cells)
+    monkeypatch.setattr(core_queries.a, "stored_panel", lambda *_: stored)
+    return cells.join(stored, ["subreddit", "month"]).where("author_history_observed = 1")
+
+
+def test_interaction_pretrend(spark, made_interactions):
+    got = core_queries.interaction_pretrend(spark, "").collect()
+    tests = {r.outcome_name: r for r in got if r.kind == "pretrend"}
+    studies = {(r.outcome_name, r.event_bin): r for r in got if r.kind == "event_study"}
+    bins = {-5, -4, -3, -2, 0, 1, 2, 3, 4, 5, 6, 7, 8}
+    assert set(tests) == set(core_queries.INTERACTION_OUTCOMES) and {r.n_leads for r in tests.values()} == {4}
+    assert set(studies) == {(o, b) for o in core_queries.INTERACTION_OUTCOMES for b in bins}
+    # without log an estimate is the difference of the groups' changes since bin -2 in the values as they are, negative ones too
+    mean = {(r.health, r.time_index): r.m for r in models.analysis_frame(made_interactions, "bond_index", log=False).groupBy("health", "time_index").agg({"raw_outcome": "avg"}).withColumnRenamed("avg(raw_outcome)", "m").collect()}
+    for b in bins:
+        want = mean[1, b] - mean[0, b] - mean[1, -2] + mean[0, -2]
+        assert studies["bond_index", b].estimate == pytest.approx(want, abs=1e-5)

@@ -254,10 +254,10 @@ def _events(pdf: pd.DataFrame, reference: int | None) -> tuple[list[int], np.nda
     return bins, np.stack([(event == b) * health for b in bins], axis=1) if bins else np.zeros((len(pdf), 0))
 
 
-def event_study(panel: DataFrame, outcomes: Sequence[str] = OUTCOMES, cutoff: str = CUTOFF, weighted: bool = False) -> DataFrame:
+def event_study(panel: DataFrame, outcomes: Sequence[str] = OUTCOMES, cutoff: str = CUTOFF, weighted: bool = False, log: bool = True) -> DataFrame:
     """Estimates per event bin with 95 percent intervals; the reference is -2 at the default cutoff, whose -1 is left out, else -1."""
     reference = -2 if cutoff == CUTOFF else -1
-    frames = {(o, "event_study"): analysis_frame(panel, o, Spec("event_study", cutoff, weighted=weighted)).withColumn("event_bin", event_bin(F.col("time_index"))) for o in outcomes}
+    frames = {(o, "event_study"): analysis_frame(panel, o, Spec("event_study", cutoff, weighted=weighted), log).withColumn("event_bin", event_bin(F.col("time_index"))) for o in outcomes}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, x = _events(pdf, reference)
@@ -269,13 +269,13 @@ def event_study(panel: DataFrame, outcomes: Sequence[str] = OUTCOMES, cutoff: st
     return stacked(frames).groupBy("outcome_name", "model").applyInPandas(run, "outcome_name string, event_bin int, estimate double, std_error double, p_value double, ci_low double, ci_high double")
 
 
-def pretrend_test(panel: DataFrame, outcomes: Sequence[str] = OUTCOMES, cutoff: str = CUTOFF, reference: int | None = -1) -> DataFrame:
+def pretrend_test(panel: DataFrame, outcomes: Sequence[str] = OUTCOMES, cutoff: str = CUTOFF, reference: int | None = -1, log: bool = True) -> DataFrame:
     """Joint Wald test that the leads before -1 are zero.
 
     With the default reference -1, which is the excluded month at the default cutoff, the design has
     no reference bin; reference -2 gives the version with one.
     """
-    frames = {(o, "pretrend"): analysis_frame(panel, o, Spec("pretrend", cutoff)).withColumn("event_bin", event_bin(F.col("time_index"))) for o in outcomes}
+    frames = {(o, "pretrend"): analysis_frame(panel, o, Spec("pretrend", cutoff), log).withColumn("event_bin", event_bin(F.col("time_index"))) for o in outcomes}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, x = _events(pdf, reference)

@@ -466,6 +466,16 @@ def moderation(spark: SparkSession, d: str) -> DataFrame:
     return models.moderation(a.stored_panel(spark, d), monthly, a.MODERATORS)
 
 
+INTERACTION_OUTCOMES = """new_author_share returning_author_share repeat_author_share op_return_share reciprocal_dyad_share
+repeat_dyad_share multi_actor_share focused_share bond_index identity_index""".split()
+
+
+def observed_interactions(spark: SparkSession, d: str) -> DataFrame:
+    """Interaction measures after the warm-up with type and activity of the stored panel."""
+    rows = interactions(spark, d).where("author_history_observed = 1").join(a.stored_panel(spark, d).select("subreddit", "month", "community_type", "comments", "submissions"), ["subreddit", "month"])
+    return Scratch(spark).save(rows, "outcomes")  # read once per model
+
+
 @query
 def interaction_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Effect estimates on interaction measures with q-values."""
@@ -478,12 +488,11 @@ def interaction_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def interaction_pretrend(spark: SparkSession, d: str) -> DataFrame:
-    """Joint test of leads and event-study peak for the interaction indices."""
-    outcomes = ["bond_index", "identity_index"]
-    rows = interactions(spark, d).join(a.stored_panel(spark, d).select("subreddit", "month", "community_type", "comments", "submissions"), ["subreddit", "month"])
-    rows = Scratch(spark).save(rows, "outcomes")
-    peaks = models.event_study(rows, outcomes).groupBy("outcome_name").agg(F.max(F.abs("estimate")).alias("largest_estimate"), F.count(F.lit(1)).alias("bins"))
-    return rounded(models.pretrend_test(rows, outcomes).join(peaks, "outcome_name"))
+    """Joint tests of leads and event studies of all interaction outcomes; ``kind`` is pretrend or event_study, a test has no event_bin."""
+    rows = observed_interactions(spark, d)
+    tests = models.pretrend_test(rows, INTERACTION_OUTCOMES, log=False).withColumn("kind", F.lit("pretrend"))
+    studies = models.event_study(rows, INTERACTION_OUTCOMES, log=False).withColumn("kind", F.lit("event_study"))
+    return rounded(tests.unionByName(studies, allowMissingColumns=True))
 
 
 @query
