@@ -56,3 +56,13 @@ def test_interaction_pretrend(spark, made_interactions):
     for b in bins:
         want = mean[1, b] - mean[0, b] - mean[1, -2] + mean[0, -2]
         assert studies["bond_index", b].estimate == pytest.approx(want, abs=1e-5)
+
+
+def test_interaction_outcomes(spark, made_interactions):
+    got = core_queries.interaction_outcomes(spark, "").collect()
+    specs = {"unweighted", "community_specific_trends"}
+    assert {(r.outcome_name, r.model) for r in got} == {(o, m) for o in core_queries.INTERACTION_OUTCOMES for m in specs} and len(got) == 20
+    assert {(r.n_obs, r.n_months) for r in got} == {(8 * 13, 13)}  # without the warm-up and the transition month
+    for model in specs:
+        fits = sorted((r for r in got if r.model == model), key=lambda r: r.p_value)
+        assert fits[0].q_value == pytest.approx(min(1.0, min(r.p_value * 10 / (k + 1) for k, r in enumerate(fits))))

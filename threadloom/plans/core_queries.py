@@ -478,11 +478,9 @@ def observed_interactions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def interaction_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Effect estimates on interaction measures with q-values."""
-    outcomes = ["bond_index", "identity_index", "new_author_share", "repeat_author_share", "reciprocal_dyad_share"]
-    rows = interactions(spark, d).join(a.stored_panel(spark, d).select("subreddit", "month", "community_type", "comments", "submissions"), ["subreddit", "month"])
-    rows = Scratch(spark).save(rows, "outcomes")  # read once per model
-    fits = models.twfe_did(rows, outcomes, (models.Spec("unweighted"), models.Spec("weighted_pre_activity", weighted=True)), log=False)
+    """Effect estimates on all interaction outcomes after the warm-up, with q-values over the outcomes of a model."""
+    specs = (models.Spec("unweighted"), models.Spec("community_specific_trends", trends=True))
+    fits = models.twfe_did(observed_interactions(spark, d), INTERACTION_OUTCOMES, specs, log=False)
     return models.bh_fdr(fits, "p_value", ["model"])
 
 
