@@ -1,10 +1,15 @@
 """Whole results of queries on small tables made for what they once left out."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.operators import models, threads
 from threadloom.plans import core_queries, problem_queries
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def comments(spark, tmp_path):
@@ -66,3 +71,17 @@ def test_interaction_outcomes(spark, made_interactions):
     for model in specs:
         fits = sorted((r for r in got if r.model == model), key=lambda r: r.p_value)
         assert fits[0].q_value == pytest.approx(min(1.0, min(r.p_value * 10 / (k + 1) for k, r in enumerate(fits))))
+
+
+REFERENCE_MODERATORS = """top5_share top1_share gini hhi pct1_share threading_ratio mean_depth
+reply_rate unanswered_rate op_followup_rate median_latency_hours""".split()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_moderators(spark):
+    assert core_queries.a.MODERATORS == REFERENCE_MODERATORS
+    cells = core_queries.moderators(spark, DATA).cache()
+    assert cells.count() == core_queries.a.stored_panel(spark, DATA).count()
+    assert all(v for v in cells.agg(*[F.max(c) for c in REFERENCE_MODERATORS]).first())
+    fits = models.moderation(core_queries.a.stored_panel(spark, DATA), cells, core_queries.a.MODERATORS).collect()
+    assert len({(r.outcome_name, r.moderator, r.model) for r in fits}) == 66

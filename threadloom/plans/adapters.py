@@ -23,8 +23,8 @@ LISTED = ["pulsecorner", "kneeclub", "oldradios"]
 # Patterns that occur in the supplied texts.
 PATTERNS = {"question": r"\?|\b(how|what|why|should i|anyone)\b", "experience": r"\b(my (dad|cousin|manager)|i lost)\b", "support": r"\b(thanks|thank you)\b", "medical": r"\b(dr|physio|pharmacist|nurse)\b"}
 MENTIONS = r"\b(?:app|version|tablets?)\b"
-MODERATORS = """reply_rate unanswered_rate op_followup_rate median_latency_hours p25_latency_hours p75_latency_hours mean_comments
-mean_commenters mean_direct_replies mean_deep_replies mean_max_depth""".split()
+MODERATORS = """top5_share top1_share gini hhi pct1_share threading_ratio mean_depth
+reply_rate unanswered_rate op_followup_rate median_latency_hours""".split()
 
 community_type = partial(communities.community_type, general=GENERAL, health=HEALTH)
 

@@ -459,11 +459,25 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return models.leave_one_out(a.stored_panel(spark, d))
 
 
+def moderators(spark: SparkSession, d: str) -> DataFrame:
+    """Concentration, depth and responsiveness on the cells of the stored panel; what a cell lacks is 0."""
+    s, c = load(spark, d)
+    depths = Scratch(spark).save(threads.comment_depths(c), "depths")
+    parts = (
+        panel.concentration(a.month_counts(spark, d)).select("subreddit", "month", "top5_share", "top1_share", "gini", "hhi", F.col("top_1pct_share").alias("pct1_share")),
+        threads.depth_buckets(c, depths).where(F.col("subreddit") != "ALL").select("subreddit", "month", "threading_ratio", "mean_depth"),
+        threads.monthly_responsiveness(threads.post_metrics(s, c, depths)),
+    )
+    rows = a.stored_panel(spark, d).select("subreddit", "month")
+    for part in parts:
+        rows = describe.on_grid(rows, part)
+    return rows.select("subreddit", "month", *a.MODERATORS)
+
+
 @query
 def moderation(spark: SparkSession, d: str) -> DataFrame:
-    """Moderation of the effect by responsiveness before the cutoff."""
-    monthly = threads.monthly_responsiveness(posts(spark, d))
-    return models.moderation(a.stored_panel(spark, d), monthly, a.MODERATORS)
+    """Moderation of the effect by concentration, depth and responsiveness before the cutoff."""
+    return models.moderation(a.stored_panel(spark, d), moderators(spark, d), a.MODERATORS)
 
 
 INTERACTION_OUTCOMES = """new_author_share returning_author_share repeat_author_share op_return_share reciprocal_dyad_share
