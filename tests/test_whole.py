@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import models, threads
+from threadloom.operators import capacity, models, threads
 from threadloom.plans import core_queries, problem_queries
 
 DATA = "/root/testdata/sf0.001"
@@ -85,3 +85,14 @@ def test_moderators(spark):
     assert all(v for v in cells.agg(*[F.max(c) for c in REFERENCE_MODERATORS]).first())
     fits = models.moderation(core_queries.a.stored_panel(spark, DATA), cells, core_queries.a.MODERATORS).collect()
     assert len({(r.outcome_name, r.moderator, r.model) for r in fits}) == 66
+
+
+def test_newcomer_return_and_summary(spark):
+    data = [("s", "2022-01", "a"), ("s", "2022-01", "b"), ("s", "2022-02", "a"), ("s", "2022-02", "c"), ("s", "2022-03", "a"), ("s", "2022-04", "b")]
+    got = {r.idx % 12 + 1: r for r in capacity.contributors(spark.createDataFrame(data, "subreddit string, month string, author string")).collect()}
+    assert [(got[1][f"newcomer_return_{h}m"], got[2][f"newcomer_return_{h}m"]) for h in (1, 3, 6)] == [(0.5, 0.0), (0.5, 0.0), (0.0, 0.0)]
+    assert (got[2].contributor_return_1m, got[3].newcomer_return_1m) == (0.5, 0.0)  # nobody is new in March
+    columns = capacity.SUMMARISED
+    monthly = spark.createDataFrame([("s", m, *[float(k + j) for j in range(len(columns))]) for k, m in enumerate(("2022-09", "2022-10", "2022-11"))], ", ".join(["subreddit string", "month string", *[f"{c} double" for c in columns]]))
+    r = capacity.capacity_summary(monthly, F.lit("health")).first()
+    assert len(columns) == 16 and [r[f"mean_{c}"] for c in columns] == [j + 0.5 for j in range(16)]

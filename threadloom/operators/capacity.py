@@ -17,7 +17,7 @@ def activity_grid(activity: DataFrame) -> DataFrame:
 
 
 def contributors(activity: DataFrame, horizons: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
-    """Per community and month: contributors, new ones, and the shares seen again 1, 3 and 6 months later.
+    """Per community and month: contributors, new ones, and the shares of either seen again 1, 3 and 6 months later.
 
     Near the end of the data nobody can be seen again: the shares are 0 there, not null.  One pass of
     range windows per author replaces the self-joins.
@@ -27,7 +27,8 @@ def contributors(activity: DataFrame, horizons: tuple[int, ...] = (1, 3, 6)) ->
     rows = rows.withColumn("new", F.row_number().over(order) == 1)
     rows = rows.withColumns({f"back_{h}": F.coalesce(F.count(F.lit(1)).over(order.rangeBetween(h, h)) > 0, F.lit(False)) for h in horizons})
     sums = rows.groupBy("subreddit", "idx").agg(
-        F.count(F.lit(1)).alias("active_contributors"), F.sum(F.col("new").cast("long")).alias("new_contributors"), *[F.avg(F.col(f"back_{h}").cast("int")).alias(f"contributor_return_{h}m") for h in horizons]
+        F.count(F.lit(1)).alias("active_contributors"), F.sum(F.col("new").cast("long")).alias("new_contributors"), *[F.avg(F.col(f"back_{h}").cast("int")).alias(f"contributor_return_{h}m") for h in horizons],
+        *[F.coalesce(F.avg(F.when(F.col("new"), F.col(f"back_{h}").cast("int"))), F.lit(0.0)).alias(f"newcomer_return_{h}m") for h in horizons],
     )
     return sums.withColumn("newcomer_share", share(F.col("new_contributors"), F.col("active_contributors")))
 
@@ -91,9 +92,16 @@ def support_capacity(activity: DataFrame, posts: DataFrame, helpers: DataFrame,
     return out.fillna(0).withColumn("month", index_month(F.col("idx"))).drop("idx")
 
 
+# The measures of the summary.
+SUMMARISED = [
+    "active_contributors", "newcomer_share", "newcomer_reply_rate", "rolling_helpers", "effective_helpers", "top5_helper_share", "helper_jaccard",
+    *[f"{who}_return_{h}m" for who in ("newcomer", "contributor", "helper") for h in (1, 3, 6)],
+]
+
+
 def capacity_summary(monthly: DataFrame, kind: Column, cutoff: str = "2022-12", transition: str = "2022-11") -> DataFrame:
     """Means per community type and period, the transition month left out."""
     rows = monthly.where(F.col("month") != transition)
     period = F.when(F.col("month") < cutoff, "pre").otherwise("post")
-    columns = ["active_contributors", "newcomer_share", "newcomer_reply_rate", "rolling_helpers", "effective_helpers", "top5_helper_share", "helper_jaccard"]
+    columns = SUMMARISED
     return rows.groupBy(kind.alias("community_type"), period.alias("period")).agg(F.count(F.lit(1)).alias("cells"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
