@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import capacity, models, threads
+from threadloom.operators import capacity, content, models, threads
 from threadloom.plans import core_queries, problem_queries
 
 DATA = "/root/testdata/sf0.001"
@@ -96,3 +96,24 @@ def test_newcomer_return_and_summary(spark):
     monthly = spark.createDataFrame([("s", m, *[float(k + j) for j in range(len(columns))]) for k, m in enumerate(("2022-09", "2022-10", "2022-11"))], ", ".join(["subreddit string", "month string", *[f"{c} double" for c in columns]]))
     r = capacity.capacity_summary(monthly, F.lit("health")).first()
     assert len(columns) == 16 and [r[f"mean_{c}"] for c in columns] == [j + 0.5 for j in range(16)]
+
+
+def test_text_length_shares(spark):
+    df = spark.createDataFrame([("a", "x" * n) for n in (19, 20, 500, 501)], "k string, text string")
+    r = content.text_metrics(df, ["k"], F.col("text")).first()
+    assert (r.very_short_share, r.long_share) == (0.25, 0.25)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_growth_and_key_results(spark, monkeypatch):
+    cells = core_queries.interactions(spark, DATA).cache()
+    monkeypatch.setattr(core_queries, "interactions", lambda *_: cells)
+    profiles = core_queries.growth_terciles(spark, DATA).cache()
+    wanted = {"submission_growth", "pre_threading_ratio", "pre_gini", "pre_top5_share", "pre_bond_index", "pre_identity_index", "pre_reciprocal_dyad_share"}
+    assert wanted <= set(profiles.columns) and profiles.where("pre_gini > 0").count() > 0
+    monkeypatch.setattr(core_queries, "growth", lambda *_: profiles)
+    summary = core_queries.growth_summary(spark, DATA).collect()
+    assert {r.growth_group for r in summary} == {"declining", "stable", "growing"} and sum(r.communities for r in summary) == profiles.count()
+    got = {(r.section, r.measure) for r in core_queries.key_results(spark, DATA).where("period = 'all'").collect()}
+    assert {("panel", m) for m in ("n_communities", "n_months", "total_comments", "total_submissions")} | {("interactions", m) for m in ("bond_index", "identity_index")} <= got
+    assert {("did", f"{o}_estimate") for o in models.OUTCOMES} | {("responsiveness", "unanswered_rate"), ("mentions", "comment_mention_share"), ("mentions", "submission_mention_share")} <= got

@@ -65,6 +65,7 @@ def text_metrics(df: DataFrame, keys: list[str], text: Column, patterns: Mapping
     )
     sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("texts"), F.avg("chars").alias("mean_length"), *[F.avg(name).alias(f"{name}_share") for name in patterns], F.avg("asks").alias("question_mark_share"),
+        F.avg((F.col("chars") < 20).cast("int")).alias("very_short_share"), F.avg((F.col("chars") > 500).cast("int")).alias("long_share"),
         share(F.sum("marks"), F.sum("chars")).alias("punctuation_per_char"), share(F.sum("words"), F.sum("parts")).alias("words_per_sentence"),
     )
     medians = exact_medians(rows.select(*keys, F.col("chars").alias("value")), keys).withColumnRenamed("median", "median_length")

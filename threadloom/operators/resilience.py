@@ -74,19 +74,28 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     return sums.select("n_high", "n_low", (F.col("r") - F.col("n_high") * (F.col("n_high") + 1) / 2.0).alias("u"))
 
 
-def growth_profiles(panel: DataFrame, kind: Column, cutoff: str = "2022-12") -> DataFrame:
-    """Health communities: means before and after, growth over at least 1, and its tercile (ties by name)."""
+def growth_profiles(panel: DataFrame, kind: Column, cutoff: str = "2022-12", structure: tuple[str, ...] = ()) -> DataFrame:
+    """Health communities: means before and after, growth over at least 1, and the tercile of comment growth (ties by name).
+
+    ``pre_c`` is the mean before the cutoff of every column c of ``structure``.
+    """
     pre, post = F.col("month") < cutoff, F.col("month") >= cutoff
     mean = lambda rule, c: F.avg(F.when(rule, F.col(c)))
     rows = panel.where(kind == "health").groupBy("subreddit").agg(
-        *[mean(rule, c).alias(f"{p}_mean_{c}") for p, rule in (("pre", pre), ("post", post)) for c in ("comments", "submissions")]
+        *[mean(rule, c).alias(f"{p}_mean_{c}") for p, rule in (("pre", pre), ("post", post)) for c in ("comments", "submissions")], *[mean(pre, c).alias(f"pre_{c}") for c in structure]
     )
-    change = (F.col("post_mean_comments") - F.col("pre_mean_comments")) / F.greatest(F.col("pre_mean_comments"), F.lit(1.0))
-    rows = rows.withColumn("comment_growth", change)
+    change = lambda c: (F.col(f"post_mean_{c}") - F.col(f"pre_mean_{c}")) / F.greatest(F.col(f"pre_mean_{c}"), F.lit(1.0))
+    rows = rows.withColumns({"comment_growth": change("comments"), "submission_growth": change("submissions")})
     place = F.row_number().over(Window.orderBy("comment_growth", "subreddit")) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     return rows.withColumn("growth_group", F.when(place <= 1 / 3, "declining").when(place <= 2 / 3, "stable").otherwise("growing"))
 
 
+def growth_summary(profiles: DataFrame) -> DataFrame:
+    """Per growth group: communities and means of growth and of the structure before the cutoff."""
+    means = ["comment_growth", "pre_threading_ratio", "pre_gini", "pre_top5_share"]
+    return profiles.groupBy("growth_group").agg(F.count(F.lit(1)).alias("communities"), *[F.avg(c).alias(f"mean_{c}") for c in means])
+
+
 def weighted_change(panel: DataFrame, kind: Column, value: str, weight: str, cutoff: str = "2022-12") -> DataFrame:
     """Per community type: weighted means before and after and their difference."""
     pre = F.col("month") < cutoff

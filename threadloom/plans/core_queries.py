@@ -371,10 +371,25 @@ def smallest_p_values(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fits.where(F.col("p_value").isNotNull()).orderBy("p_value", "outcome_name", "model").limit(5))
 
 
+def growth(spark: SparkSession, d: str) -> DataFrame:
+    columns = ("threading_ratio", "gini", "top5_share")
+    cells = structure(spark, d, threads.comment_depths(load(spark, d)[1])).select("subreddit", "month", *columns)
+    rows = a.stored_panel(spark, d).join(cells, ["subreddit", "month"], "left")
+    early = interactions(spark, d).where((F.col("author_history_observed") == 1) & (F.col("month") < models.CUTOFF))
+    means = early.groupBy("subreddit").agg(*[F.avg(c).alias(f"pre_{c}") for c in ("bond_index", "identity_index", "reciprocal_dyad_share")])
+    return resilience.growth_profiles(rows, a.community_type(F.col("subreddit")), structure=columns).join(means, "subreddit", "left")
+
+
 @query
 def growth_terciles(spark: SparkSession, d: str) -> DataFrame:
-    """Growth of health communities and its tercile."""
-    return rounded(resilience.growth_profiles(a.stored_panel(spark, d), a.community_type(F.col("subreddit"))))
+    """Growth of health communities, its tercile, and their structure and interactions before the cutoff."""
+    return rounded(growth(spark, d))
+
+
+@query
+def growth_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Means of growth and earlier structure per tercile."""
+    return rounded(resilience.growth_summary(growth(spark, d)))
 
 
 @query
@@ -459,19 +474,19 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return models.leave_one_out(a.stored_panel(spark, d))
 
 
+def structure(spark: SparkSession, d: str, depths: DataFrame) -> DataFrame:
+    """Concentration and depth on the cells of the stored panel; what a cell lacks is 0."""
+    shares = panel.concentration(a.month_counts(spark, d)).select("subreddit", "month", "top5_share", "top1_share", "gini", "hhi", F.col("top_1pct_share").alias("pct1_share"))
+    deep = threads.depth_buckets(load(spark, d)[1], depths).where(F.col("subreddit") != "ALL").select("subreddit", "month", "threading_ratio", "mean_depth")
+    return describe.on_grid(describe.on_grid(a.stored_panel(spark, d).select("subreddit", "month"), shares), deep)
+
+
 def moderators(spark: SparkSession, d: str) -> DataFrame:
     """Concentration, depth and responsiveness on the cells of the stored panel; what a cell lacks is 0."""
     s, c = load(spark, d)
     depths = Scratch(spark).save(threads.comment_depths(c), "depths")
-    parts = (
-        panel.concentration(a.month_counts(spark, d)).select("subreddit", "month", "top5_share", "top1_share", "gini", "hhi", F.col("top_1pct_share").alias("pct1_share")),
-        threads.depth_buckets(c, depths).where(F.col("subreddit") != "ALL").select("subreddit", "month", "threading_ratio", "mean_depth"),
-        threads.monthly_responsiveness(threads.post_metrics(s, c, depths)),
-    )
-    rows = a.stored_panel(spark, d).select("subreddit", "month")
-    for part in parts:
-        rows = describe.on_grid(rows, part)
-    return rows.select("subreddit", "month", *a.MODERATORS)
+    monthly = threads.monthly_responsiveness(threads.post_metrics(s, c, depths))
+    return describe.on_grid(structure(spark, d, depths), monthly).select("subreddit", "month", *a.MODERATORS)
 
 
 @query
@@ -516,18 +531,33 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def key_results(spark: SparkSession, d: str) -> DataFrame:
-    """Headline means in long form: section, community type, period, measure, value."""
-    period = F.when(F.col("month") < models.CUTOFF, "pre").otherwise("post").alias("period")
+    """Headline figures in long form: section, community type, period, measure, value.
+
+    Means are given for either period and for all months; counts, totals and estimates for all.
+    """
+    period = F.explode(F.array(F.when(F.col("month") < models.CUTOFF, "pre").otherwise("post"), F.lit("all")))
     kind = a.community_type(F.col("subreddit")).alias("community_type")
+    stored, whole = a.stored_panel(spark, d), F.lit("all")
+    texts = a.texts(spark, d).where("month is not null")
+    by_kind = content.keyword_mentions(texts.where("record_kind is not null"), ["record_kind", "subreddit", "month"], F.col("text"), a.MENTIONS)
+    by_kind = by_kind.select("subreddit", "month", *[F.when(F.col("record_kind") == k, F.col("mention_share")).alias(f"{k}_mention_share") for k in ("comment", "submission")])
     parts = []
     for section, cells, columns in (
-        ("panel", a.stored_panel(spark, d).drop("community_type"), ["comments", "submissions", "comments_per_submission"]),
-        ("responsiveness", threads.monthly_responsiveness(posts(spark, d)), ["reply_rate", "median_latency_hours"]),
-        ("mentions", content.keyword_mentions(a.texts(spark, d).where("month is not null"), ["subreddit", "month"], F.col("text"), a.MENTIONS), ["mention_share"]),
+        ("panel", stored.drop("community_type"), ["comments", "submissions", "comments_per_submission"]),
+        ("responsiveness", threads.monthly_responsiveness(posts(spark, d)), ["reply_rate", "unanswered_rate", "op_followup_rate", "median_latency_hours"]),
+        ("mentions", content.keyword_mentions(texts, ["subreddit", "month"], F.col("text"), a.MENTIONS), ["mention_share"]),
+        ("mentions", by_kind, ["comment_mention_share", "submission_mention_share"]),
         ("concentration", panel.concentration(a.month_counts(spark, d)), ["gini", "top5_share"]),
+        ("interactions", interactions(spark, d), ["bond_index", "identity_index"]),
     ):
-        means = cells.groupBy(kind, period).agg(*[F.avg(c).alias(c) for c in columns])
+        means = cells.select(kind, period.alias("period"), *columns).groupBy("community_type", "period").agg(*[F.avg(c).alias(c) for c in columns])
         parts.append(means.unpivot(["community_type", "period"], columns, "measure", "value").withColumn("section", F.lit(section)))
+    size = stored.agg(F.count_distinct("subreddit").cast("double").alias("n_communities"), F.count_distinct("month").cast("double").alias("n_months"))
+    totals = stored.groupBy("community_type").agg(*[F.sum(c).cast("double").alias(f"total_{c}") for c in ("comments", "submissions")])
+    for cells, columns in ((size.withColumn("community_type", whole), ["n_communities", "n_months"]), (totals, ["total_comments", "total_submissions"])):
+        parts.append(cells.withColumn("period", whole).unpivot(["community_type", "period"], columns, "measure", "value").withColumn("section", F.lit("panel")))
+    fits = models.twfe_did(stored, specs=(models.Spec("unweighted"),))
+    parts.append(fits.select(whole.alias("community_type"), whole.alias("period"), F.concat("outcome_name", F.lit("_estimate")).alias("measure"), F.col("estimate").alias("value"), F.lit("did").alias("section")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
