@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import capacity, content, models, threads
+from threadloom.functions import stats
+from threadloom.operators import capacity, content, models, resilience, threads
 from threadloom.plans import core_queries, problem_queries
 
 DATA = "/root/testdata/sf0.001"
@@ -117,3 +118,11 @@ def test_growth_and_key_results(spark, monkeypatch):
     got = {(r.section, r.measure) for r in core_queries.key_results(spark, DATA).where("period = 'all'").collect()}
     assert {("panel", m) for m in ("n_communities", "n_months", "total_comments", "total_submissions")} | {("interactions", m) for m in ("bond_index", "identity_index")} <= got
     assert {("did", f"{o}_estimate") for o in models.OUTCOMES} | {("responsiveness", "unanswered_rate"), ("mentions", "comment_mention_share"), ("mentions", "submission_mention_share")} <= got
+
+
+def test_every_tie_counts(spark, monkeypatch):
+    monkeypatch.setattr(resilience, "COMMUNITY_ROWS", 1, raising=False)
+    df = spark.createDataFrame([(f"c{k:02d}", float(k), float(k * 7 % 20 // 4)) for k in range(20)], "subreddit string, x double, y double")
+    u = resilience.mann_whitney(resilience.median_split(df, "x"), "group", "y").first()
+    got = {r.test: r.p_value for r in resilience.statistics(df, "x", "y").collect()}
+    assert got["mann_whitney_u"] == pytest.approx(stats.mann_whitney_p(u.u, 10, 10, [4] * 5), rel=1e-12)

@@ -67,9 +67,14 @@ def spearman_p(rho: float, n: int) -> float:
     return 0.0 if abs(rho) >= 1 else t_two_sided(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
-def mann_whitney_p(u: float, n: int, m: int, ties: list[int]) -> float:
-    """Two-sided: exact for small samples without ties, else normal with tie and continuity correction."""
-    if min(n, m) <= 8 and not any(t > 1 for t in ties):
+def mann_whitney_p(u: float, n: int, m: int, ties: list[int], tied: float | None = None) -> float:
+    """Two-sided: exact for small samples without ties, else normal with tie and continuity correction.
+
+    ``tied`` is the sum of t^3 - t over the sizes of tied groups; without it ``ties`` lists the sizes.
+    """
+    if tied is None:
+        tied = sum(t**3 - t for t in ties)
+    if min(n, m) <= 8 and tied <= 0:
         ways = [1] + [0] * (n * m)
         for i in range(1, n + 1):  # number of ways to each U, by multiplying and dividing Gaussian binomials
             for k in range(n * m, m + i - 1, -1):
@@ -79,5 +84,5 @@ def mann_whitney_p(u: float, n: int, m: int, ties: list[int]) -> float:
         low = int(min(u, n * m - u))
         return min(1.0, 2 * sum(ways[: low + 1]) / math.comb(n + m, n))
     whole = n + m
-    spread = n * m / 12 * (whole + 1 - sum(t**3 - t for t in ties) / (whole * (whole - 1)))
+    spread = n * m / 12 * (whole + 1 - tied / (whole * (whole - 1)))
     return 1.0 if spread <= 0 else min(1.0, normal_two_sided((abs(u - n * m / 2) - 0.5) / math.sqrt(spread)))

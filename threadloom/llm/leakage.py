@@ -95,7 +95,8 @@ class Bm25Index:
             weight = {t: math.log(1 + (len(usable) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in tf.items()}
             threshold = self.threshold(text, weight)
             for t, w in weight.items():
-                postings[t].append((k, w / threshold))
+                # edits can destroy every distinct term of a repetitive window, yet one of its places stays: any shared term is a hit then
+                postings[t].append((k, w / threshold if threshold > 0 else 1.0))
         for term, rows in postings.items():
             self.terms[term] = len(self.items)
             self.items.append([k for k, _ in rows])

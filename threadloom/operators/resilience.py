@@ -104,23 +104,21 @@ def weighted_change(panel: DataFrame, kind: Column, value: str, weight: str, cut
     return out.withColumn("change", F.col("post_mean") - F.col("pre_mean"))
 
 
-COMMUNITY_ROWS = 1_000_000  # profiles, one per community, whose ties a rank test may count
-
-
 def statistics(profiles: DataFrame, x: str, y: str) -> DataFrame:
     """``test, n, statistic, p_value`` of rank correlation, regression slope and the test between halves of x.
 
-    The statistics are aggregates; only their few scalars and the sizes of tied groups reach the driver.
+    The statistics are aggregates; only their few scalars reach the driver.
     """
     rho = spearman(profiles, x, y).first()
     line = simple_ols(profiles, x, y).first()
     split = median_split(profiles, x)
     u = mann_whitney(split, "group", y).first()
-    ties = [r["count"] for r in split.groupBy(y).count().where("count > 1").limit(COMMUNITY_ROWS).collect()]
+    size = F.col("count").cast("double")
+    tied = split.groupBy(y).count().agg(F.coalesce(F.sum(size * size * size - size), F.lit(0.0)).alias("t")).first().t
     rows = [("spearman", rho.n, rho.rho, stats.spearman_p(math.nan if rho.rho is None else rho.rho, rho.n))]
     fits = line.n > 2 and line.slope is not None and line.r2 is not None
     t = math.copysign(math.sqrt(line.r2 * (line.n - 2) / max(1e-300, 1 - line.r2)), line.slope) if fits else math.nan
     rows.append(("ols_slope", line.n, line.slope, stats.t_two_sided(t, line.n - 2) if fits else math.nan))
     both = u.n_high and u.n_low
-    rows.append(("mann_whitney_u", u.n_high + u.n_low, u.u, stats.mann_whitney_p(u.u, u.n_high, u.n_low, ties) if both else math.nan))
+    rows.append(("mann_whitney_u", u.n_high + u.n_low, u.u, stats.mann_whitney_p(u.u, u.n_high, u.n_low, [], tied) if both else math.nan))
     return profiles.sparkSession.createDataFrame(rows, "test string, n long, statistic double, p_value double")
