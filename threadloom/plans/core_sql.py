@@ -119,25 +119,28 @@ rh as (select g.subreddit, g.i, cast(coalesce(rh, 0) as bigint) as rolling_helpe
   from ag g left join ws w on w.subreddit = g.subreddit and w.i = g.i)"""
 
 
-def back(table: str, who: str, h: int) -> str:
-    return f"avg(case when exists (select 1 from {table} b where b.subreddit = a.subreddit and b.{who} = a.{who} and b.i = a.i + {h}) then 1 else 0 end)"
+def back(table: str, who: str, h: int, of: str = "true") -> str:
+    return f"avg(case when {of} then case when exists (select 1 from {table} b where b.subreddit = a.subreddit and b.{who} = a.{who} and b.i = a.i + {h}) then 1 else 0 end end)"
+
+
+NEW = "not exists (select 1 from ai b where b.subreddit = a.subreddit and b.author = a.author and b.i < a.i)"
 
 
 CONTRIB = f"""co as (select a.subreddit, a.i, count(*) as active_contributors,
-  count(*) filter (not exists (select 1 from ai b where b.subreddit = a.subreddit and b.author = a.author and b.i < a.i)) as new_contributors,
-  {', '.join(f"{back('ai', 'author', h)} as contributor_return_{h}m" for h in (1, 3, 6))} from ai a group by 1, 2),
+  count(*) filter ({NEW}) as new_contributors, {', '.join(f"{back('ai', 'author', h)} as contributor_return_{h}m" for h in (1, 3, 6))},
+  {', '.join(f"coalesce({back('ai', 'author', h, NEW)}, 0.0) as newcomer_return_{h}m" for h in (1, 3, 6))} from ai a group by 1, 2),
 con as (select *, {ratio('new_contributors', 'active_contributors')} as newcomer_share from co)"""
 RETURN = f"hr as (select a.subreddit, a.i, count(*) as monthly_helpers, {', '.join(f'{back('hm', 'helper', h)} as helper_return_{h}m' for h in (1, 3, 6))} from hm a group by 1, 2)"
 NEWCOMER = f"""np as (select p.subreddit, {idx('p.month')} as i, count(*) as newcomer_posts, avg(cast(coalesce(p.n, 0) > 0 as int)) as newcomer_reply_rate from hp p
   join (select subreddit, author, min(i) as i from ai group by 1, 2) f on f.subreddit = p.subreddit and f.author = p.author and f.i = {idx('p.month')} group by 1, 2)"""
 CAPACITY = f"{PLAIN}, {ACTIVITY}, {HELPERS}, {GRID}, {ROLLING}, {CONTRIB}, {RETURN}, {NEWCOMER}"
 CAP_COLUMNS = {
-    "con": ["active_contributors", "new_contributors", "contributor_return_1m", "contributor_return_3m", "contributor_return_6m", "newcomer_share"], "np": ["newcomer_posts", "newcomer_reply_rate"],
+    "con": ["active_contributors", "new_contributors", "contributor_return_1m", "contributor_return_3m", "contributor_return_6m", "newcomer_share", "newcomer_return_1m", "newcomer_return_3m", "newcomer_return_6m"], "np": ["newcomer_posts", "newcomer_reply_rate"],
     "rh": ["rolling_helpers", "effective_helpers", "top5_helper_share", "helper_jaccard"], "hr": ["monthly_helpers", "helper_return_1m", "helper_return_3m", "helper_return_6m"],
 }
 CAP_ROWS = f"""cap as (select ag.subreddit, ag.i, {', '.join(f'coalesce({t}.{c}, 0) as {c}' for t, cs in CAP_COLUMNS.items() for c in cs)} from ag
   {' '.join(f'left join {t} on {t}.subreddit = ag.subreddit and {t}.i = ag.i' for t in CAP_COLUMNS)})"""
-RATES = {"contributor_return_1m", "contributor_return_3m", "contributor_return_6m", "newcomer_share", "newcomer_reply_rate", "effective_helpers", "top5_helper_share", "helper_jaccard", "helper_return_1m", "helper_return_3m", "helper_return_6m"}
+RATES = {"newcomer_return_1m", "newcomer_return_3m", "newcomer_return_6m", "contributor_return_1m", "contributor_return_3m", "contributor_return_6m", "newcomer_share", "newcomer_reply_rate", "effective_helpers", "top5_helper_share", "helper_jaccard", "helper_return_1m", "helper_return_3m", "helper_return_6m"}
 
 
 def shown(columns: list[str], rounded: set[str] | None = None) -> str:
@@ -183,16 +186,17 @@ INTER_COLUMNS = {
 
 
 def z(c: str) -> str:
-    m, s, flat = (f"(select {f} from im where seen >= 1 and unique_authors > 0 and month < '2022-11')" for f in (f"avg({c})", f"stddev_pop({c})", f"min({c}) = max({c})"))
+    m, s, flat = (f"(select {f} from im where seen >= 6 and unique_authors > 0 and month < '2022-11')" for f in (f"avg({c})", f"stddev_pop({c})", f"min({c}) = max({c})"))
     return f"case when {flat} then 0.0 else coalesce(({c} - {m}) / nullif({s}, 0), 0.0) end"
 
 
-INTERACTIONS = f"""{WITH}, {POSTS}, {STRUCTURE}, {EDGES}, {ACTIVITY}, {HISTORY}, {calendar("select subreddit, month from ah union all select subreddit, month from ts union all select subreddit, month from dy")},
+INTER_TABLES = f"""{POSTS}, {STRUCTURE}, {EDGES}, {ACTIVITY}, {HISTORY}, {calendar("select subreddit, month from ah union all select subreddit, month from ts union all select subreddit, month from dy")},
 im as (select grid.subreddit, grid.month, {', '.join(f'coalesce({t}.{c}, 0) as {c}' for t, cs in INTER_COLUMNS.items() for c in cs)}, row_number() over (partition by grid.subreddit order by grid.month) - 1 as seen
-  from grid {' '.join(f'left join {t} on {t}.subreddit = grid.subreddit and {t}.month = grid.month' for t in INTER_COLUMNS)})
-select subreddit, month, {', '.join(f"{r6(c)} as {c}" if c.endswith('share') else c for cs in INTER_COLUMNS.values() for c in cs)},
-  case when unique_authors > 0 then round({' + '.join(z(c) for c in ZS)}, 6) else 0.0 end as bond_index,
-  case when unique_authors > 0 then round({' + '.join(('' if sign > 0 else '-1 * ') + z(c) for c, sign in ZI.items())}, 6) else 0.0 end as identity_index from im"""
+  from grid {' '.join(f'left join {t} on {t}.subreddit = grid.subreddit and {t}.month = grid.month' for t in INTER_COLUMNS)}),
+ix as (select im.*, cast(seen >= 6 as int) as author_history_observed, case when unique_authors > 0 then {' + '.join(z(c) for c in ZS)} else 0.0 end as bond_index,
+  case when unique_authors > 0 then {' + '.join(('' if sign > 0 else '-1 * ') + z(c) for c, sign in ZI.items())} else 0.0 end as identity_index from im)"""
+INTERACTIONS = f"""{WITH}, {INTER_TABLES}
+select subreddit, month, author_history_observed, {', '.join(f"{r6(c)} as {c}" if c.endswith('share') else c for cs in INTER_COLUMNS.values() for c in cs)}, {shown(['bond_index', 'identity_index'])} from ix"""
 
 KEY_PARTS = (("panel", "p", ["comments", "submissions", "comments_per_submission"]), ("responsiveness", "rm", ["reply_rate", "median_latency_hours"]), ("mentions", "kw", ["mention_share"]), ("concentration", "conc", ["gini", "top5_share"]))
 KEYWORDS = f"kw as (select subreddit, month, count(*) as texts, cast(sum({hit('text', a.MENTIONS)}) as bigint) as mentions, avg({hit('text', a.MENTIONS)}) as mention_share from t where month is not null group by 1, 2)"
@@ -200,6 +204,19 @@ VALID = f"{q.strip('text')} <> '' and not {placeholder('text')}"
 PARTS = f"list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: {q.strip('x')} <> '')"
 LEVEL = "select '{0}' as level, {1} as subreddit, {2} as month, count(*) as n, min(created_utc) as first_utc, max(created_utc) as last_utc from s"
 
+GROWTH_COLUMNS = [*(f"{n}_mean_{c}" for n in ("pre", "post") for c in ("comments", "submissions")), "comment_growth", "submission_growth", "pre_threading_ratio", "pre_gini", "pre_top5_share",
+                  "pre_bond_index", "pre_identity_index", "pre_reciprocal_dyad_share"]
+GROWTH = f"""{WITH}, {INTER_TABLES}, {BUCKETS}, {COUNTS}, {P},
+gx as (select p.*, coalesce(db.threading_ratio, 0) as threading_ratio, coalesce(conc.gini, 0) as gini, coalesce(conc.top5_share, 0) as top5_share from p
+  left join db on db.subreddit = p.subreddit and db.month = p.month left join conc on conc.subreddit = p.subreddit and conc.month = p.month where community_type = 'health'),
+gm as (select subreddit, {', '.join(f"avg({c}) filter (month {op} '{CUT}') as {n}_mean_{c}" for n, op in (('pre', '<'), ('post', '>=')) for c in ('comments', 'submissions'))},
+  {', '.join(f"avg({c}) filter (month < '{CUT}') as pre_{c}" for c in ('threading_ratio', 'gini', 'top5_share'))} from gx group by 1),
+gi as (select subreddit, {', '.join(f'avg({c}) as pre_{c}' for c in ('bond_index', 'identity_index', 'reciprocal_dyad_share'))} from ix where author_history_observed = 1 and month < '{CUT}' group by 1),
+gh as (select gm.*, pre_bond_index, pre_identity_index, pre_reciprocal_dyad_share, (post_mean_comments - pre_mean_comments) / greatest(pre_mean_comments, 1.0) as comment_growth,
+  (post_mean_submissions - pre_mean_submissions) / greatest(pre_mean_submissions, 1.0) as submission_growth from gm left join gi using (subreddit)),
+go as (select *, row_number() over (order by comment_growth, subreddit) / cast(count(*) over () as double) as place from gh),
+gr as (select *, case when place <= 1 / 3.0 then 'declining' when place <= 2 / 3.0 then 'stable' else 'growing' end as growth_group from go)"""
+
 _ROUNDED = {
     "panel_base": f"""{PLAIN}, {CELLS}, {calendar("select subreddit, month from sc union all select subreddit, month from cc")}
 select grid.subreddit, grid.month, {', '.join(f'round(coalesce({t}.{c}, 0), 6) as {c}' if c.startswith(('mean', 'removed', 'median')) else f'coalesce({t}.{c}, 0) as {c}' for t, cs in zip(('sc', 'cc'), PANEL_COLUMNS) for c in cs)}, cast(0.0 as double) as mean_selftext_length,
@@ -243,12 +260,12 @@ select link as submission_id, commenter, case when commenter = {q.strip('op')} t
     "newcomer_reply": f"{PLAIN}, {ACTIVITY}, {HELPERS}, {NEWCOMER} select subreddit, {MONTH_OF}, {shown(CAP_COLUMNS['np'], RATES)} from np",
     "support_capacity": f"{CAPACITY}, {CAP_ROWS} select subreddit, {MONTH_OF}, {shown([c for cs in CAP_COLUMNS.values() for c in cs], RATES)} from cap",
     "capacity_summary": f"""{CAPACITY}, {CAP_ROWS}, m as (select *, {MONTH_OF} from cap) select {kind()} as community_type, case when month < '{CUT}' then 'pre' else 'post' end as period, count(*) as cells,
-  {', '.join(f'round(avg({c}), 6) as mean_{c}' for c in ('active_contributors', 'newcomer_share', 'newcomer_reply_rate', 'rolling_helpers', 'effective_helpers', 'top5_helper_share', 'helper_jaccard'))} from m where month <> '2022-11' group by 1, 2""",
+  {', '.join(f'round(avg({c}), 6) as mean_{c}' for c in ('active_contributors', 'newcomer_share', 'newcomer_reply_rate', 'rolling_helpers', 'effective_helpers', 'top5_helper_share', 'helper_jaccard', *(f'{w}_return_{h}m' for w in ('newcomer', 'contributor', 'helper') for h in (1, 3, 6))))} from m where month <> '2022-11' group by 1, 2""",
     "text_flags": f"with {T} select doc_id, {', '.join(f'{hit("text", p)} as {n}' for n, p in a.PATTERNS.items())} from t",
     "text_metrics": f"""with {T}, v as (select record_kind, subreddit, month, length(text) as chars, {', '.join(f'{hit("text", p)} as {n}' for n, p in a.PATTERNS.items())}, cast(contains(text, '?') as int) as asks,
   length(regexp_replace(text, '[^[:punct:]]', '', 'g')) as marks, len({PARTS}) as parts, coalesce(list_sum(list_transform({PARTS}, lambda x: len(regexp_split_to_array({q.strip('x')}, '[{BLANKS}]+')))), 0) as words
   from t where month is not null and record_kind is not null and text is not null and {VALID})
-select record_kind, subreddit, month, count(*) as texts, round(avg(chars), 6) as mean_length, {', '.join(f'round(avg({n}), 6) as {n}_share' for n in a.PATTERNS)}, round(avg(asks), 6) as question_mark_share,
+select record_kind, subreddit, month, count(*) as texts, round(avg(chars), 6) as mean_length, {', '.join(f'round(avg({n}), 6) as {n}_share' for n in a.PATTERNS)}, round(avg(asks), 6) as question_mark_share, round(avg(cast(chars < 20 as int)), 6) as very_short_share, round(avg(cast(chars > 500 as int)), 6) as long_share,
   round({ratio('sum(marks)', 'sum(chars)')}, 6) as punctuation_per_char, round({ratio('sum(words)', 'sum(parts)')}, 6) as words_per_sentence, median(chars) as median_length from v group by 1, 2, 3""",
     "keyword_mentions": f"with {T}, {KEYWORDS} select subreddit, month, texts, mentions, {r6('mention_share')} as mention_share from kw",
     "validation_report": f"with {T} "
@@ -264,9 +281,8 @@ select record_kind, subreddit, month, count(*) as texts, round(avg(chars), 6) as
     "spearman_rho": f"{RESILIENCE} select count(*) as n, round(corr(rx, ry), 6) as rho from prr",
     "simple_ols": f"{RESILIENCE} select count(*) as n, round(regr_slope(pct_change, threading_ratio), 4) as slope, round(regr_intercept(pct_change, threading_ratio), 4) as intercept, round(regr_r2(pct_change, threading_ratio), 4) as r2 from pr",
     "mann_whitney_u": f"{RESILIENCE} select count(*) filter (grp = 'high') as n_high, count(*) filter (grp = 'low') as n_low, round(sum(ry) filter (grp = 'high') - count(*) filter (grp = 'high') * (count(*) filter (grp = 'high') + 1) / 2.0, 6) as u from prr",
-    "growth_terciles": f"""with {P}, g as (select subreddit, {', '.join(f"avg({c}) filter (month {op} '{CUT}') as {n}_mean_{c}" for n, op in (('pre', '<'), ('post', '>=')) for c in ('comments', 'submissions'))} from p where community_type = 'health' group by 1),
-h as (select *, (post_mean_comments - pre_mean_comments) / greatest(pre_mean_comments, 1.0) as comment_growth from g), o as (select *, row_number() over (order by comment_growth, subreddit) / cast(count(*) over () as double) as place from h)
-select subreddit, {shown(['pre_mean_comments', 'pre_mean_submissions', 'post_mean_comments', 'post_mean_submissions', 'comment_growth'])}, case when place <= 1 / 3.0 then 'declining' when place <= 2 / 3.0 then 'stable' else 'growing' end as growth_group from o""",
+    "growth_terciles": f"{GROWTH} select subreddit, {shown(GROWTH_COLUMNS)}, growth_group from gr",
+    "growth_summary": f"{GROWTH} select growth_group, count(*) as communities, {', '.join(f'round(avg({c}), 6) as mean_{c}' for c in ('comment_growth', 'pre_threading_ratio', 'pre_gini', 'pre_top5_share'))} from gr group by 1",
     "balanced_panel": f"with {P}, b as (select * from p where comments > 0) select subreddit, month, comments from b where subreddit in (select subreddit from b group by 1 having count(distinct month) = (select count(distinct month) from b))",
     "exclude_top2": f"with {P} select subreddit, month, comments from p where subreddit not in (select subreddit from p where community_type = 'general' and month < '{CUT}' group by 1 order by sum(comments) desc, subreddit limit 2)",
     "winsorized": f"with {P} select subreddit, month, round(greatest((select quantile_cont(cast(comments as double), 0.01) from p), least((select quantile_cont(cast(comments as double), 0.99) from p), comments)), 6) as comments from p",

@@ -37,7 +37,11 @@ tree(id, path, level, root, state) as (
 circling as (select n.id, n.ptr from nodes n where n.id not in (select id from tree)),
 reach(a, b) as (select id, ptr from circling union select r.a, c.ptr from reach r join circling c on c.id = r.b),
 cycles as (select a as id, min(b) as cycle_id from reach where a in (select a from reach where a = b) group by 1),
-pairs as (select a.id as descendant, a.level, unnest(string_split(a.path, '/')) as ancestor, generate_subscripts(string_split(a.path, '/'), 1) as pos from tree a)"""
+hangs(id, path, level) as (
+  select n.id, n.id, 1 from nodes n join cycles y on y.id = n.ptr where n.id not in (select id from cycles)
+  union all select n.id, h.path || '/' || n.id, h.level + 1 from hangs h join nodes n on n.ptr = h.id),
+ways as (select id, path, level from tree union all select id, path, level from hangs),
+pairs as (select a.id as descendant, a.level, unnest(string_split(a.path, '/')) as ancestor, generate_subscripts(string_split(a.path, '/'), 1) as pos from ways a)"""
 CLOSURE = f"with recursive {NODES}"
 
 SURPLUS = f"select delivery_id, submission_id, row_number() over (partition by {q.post('submission_id')} order by received_at nulls last, delivery_id) as rn, {q.post('submission_id')} as k from submissions"
@@ -60,8 +64,9 @@ ORACLE = {
     "p2_hierarchy": f"""{CLOSURE}, kids as (select ancestor, count(*) as n from pairs where ancestor <> descendant group by 1)
 select t.id as comment_id, t.state, t.root, cast(t.level as bigint) as level, cast(case when t.state = 'resolved' then t.level end as bigint) as depth, t.path, cast(null as varchar) as cycle_id,
   coalesce(k.n, 0) as n_descendants from tree t left join kids k on k.ancestor = t.id
-union all select c.id, case when y.id is not null then 'cycle' else 'below_cycle' end, null, null, null, null, coalesce(y.cycle_id, (select min(z.cycle_id) from reach r join cycles z on z.id = r.b where r.a = c.id)), null
-from circling c left join cycles y on y.id = c.id""",
+union all select c.id, case when y.id is not null then 'cycle' else 'below_cycle' end, null, null, null, null, coalesce(y.cycle_id, (select min(z.cycle_id) from reach r join cycles z on z.id = r.b where r.a = c.id)),
+  case when y.id is null then coalesce(k.n, 0) end
+from circling c left join cycles y on y.id = c.id left join kids k on k.ancestor = c.id""",
     "p2_descendants": f"{CLOSURE} select ancestor, descendant, cast(level - pos as bigint) as distance from pairs where ancestor <> descendant",
     "p2_max_depth": f"""{CLOSURE} select {q.name('c.subreddit')} as subreddit, {q.month('c.created_utc')} as month, cast(max(t.level) as bigint) as max_depth
 from comments c join tree t on t.id = c.comment_id where t.state = 'resolved' and {q.name('c.subreddit')} is not null and c.created_utc is not null group by 1, 2""",
