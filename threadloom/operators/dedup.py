@@ -27,14 +27,17 @@ def first_delivery(df: DataFrame, key: Column, time: str, tie: str, carry: list[
 
 
 def surplus_deliveries(df: DataFrame, key: Column, time: str, tie: str) -> DataFrame:
-    """``tie`` of every delivery that is not the first of its key; ``tie`` must be unique.
+    """``tie`` of every delivery that is not the first of its key; ``tie`` must be unique among its keys' known ones.
 
-    The keepers are anti-joined on the unique ``tie`` and not on the key, so a hot key cannot fill
-    one task.  Rows with a null key are never surplus; an empty table gives an empty result.
+    The keepers are anti-joined on key and ``tie``, so a hot key is spread over its ties and cannot
+    fill one task.  A null tie comes last in its key and is compared like a value: of several
+    deliveries that lack it, all are alike and none is surplus if their key has no other.  Rows with
+    a null key are never surplus; an empty table gives an empty result.
     """
-    keepers = first_delivery(df, key, time, tie, [tie]).select(F.col(tie))
-    rows = df.where(key.isNotNull()).select(tie)
-    return rows.join(keepers, tie, "left_anti")
+    keepers = first_delivery(df, key, time, tie, [tie]).select(F.col("__key").alias("__kept"), F.col(tie).alias("__tie"))
+    rows = df.where(key.isNotNull()).select(key.alias("__key"), F.col(tie))
+    same = (F.col("__key") == F.col("__kept")) & F.col(tie).eqNullSafe(F.col("__tie"))
+    return rows.join(keepers, same, "left_anti").select(tie)
 
 
 def keep_first(df: DataFrame, key: Column, time: str, tie: str) -> DataFrame:
