@@ -16,10 +16,30 @@ FILE = ["feed", "file_no"]
 RECORD = [*FILE, "line_no"]
 
 
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def with_document(df: DataFrame, payload: str) -> DataFrame:
+    """Adds ``__v``, the variant of a line that is a JSON object, and ``doc``, its map from key to variant; null for other lines.
+
+    Of a repeated key the last value counts.  A byte-order mark before the object is skipped; text
+    behind it makes the line no JSON object.  The setting for repeated keys is read while the plan
+    is analysed and put back at once.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(REPEATED_KEYS, "false")
+    text = F.trim(F.col(payload), F.lit(" \t\r\n\ufeff"))
+    conf.set(REPEATED_KEYS, "true")
+    try:
+        parsed = df.withColumn("__v", F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(text)))
+    finally:
+        conf.set(REPEATED_KEYS, before)
+    return parsed.withColumn("doc", F.expr("cast(__v as map<string, variant>)"))
+
+
 def read_records(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Lines that are JSON objects, with ``doc`` as map from key to variant; other lines are left out."""
-    parsed = df.where(F.ltrim(F.col(payload)).startswith("{")).withColumn("__v", F.try_parse_json(F.col(payload)))
-    return parsed.where(F.col("__v").isNotNull()).withColumn("doc", F.expr("cast(__v as map<string, variant>)")).drop("__v")
+    return with_document(df, payload).where(F.col("__v").isNotNull()).drop("__v")
 
 
 def value_kind(schema: Column) -> Column:
@@ -30,17 +50,20 @@ def value_kind(schema: Column) -> Column:
     )
 
 
-def file_layouts(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def file_layouts(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(fields of each file with their type, files with their successor).
 
-    Counting is merged map-side, so one file or feed may hold any share of the rows.
+    Every record emits its keys and one entry without a key, so a single pass counts both.  Counting is
+    merged map-side, so one file or feed may hold any share of the rows.
     """
-    files = records.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n_records"))
+    entry = F.transform(F.map_entries("doc"), lambda e: F.struct(e["key"].alias("field"), value_kind(F.schema_of_variant(e["value"])).alias("kind")))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("kind")))
+    cells = records.select(*FILE, F.inline(F.concat(entry, itself)))
+    counts = scratch.save(cells.groupBy(*FILE, "field", "kind").agg(F.count(F.lit(1)).alias("n")), "counts")
+    files = counts.where(F.col("field").isNull()).select(*FILE, F.col("n").alias("n_records"))
     files = files.withColumn("next_file", F.lead("file_no").over(Window.partitionBy("feed").orderBy("file_no")))
-    cells = records.select(*FILE, F.explode("doc").alias("field", "value")).select(*FILE, "field", value_kind(F.expr("schema_of_variant(value)")).alias("kind"))
-    counts = cells.groupBy(*FILE, "field", "kind").agg(F.count(F.lit(1)).alias("n"))
     kind = F.max_by(F.when(F.col("kind").isNotNull(), F.col("kind")), F.struct(F.col("kind").isNotNull(), "n", "kind"))
-    fields = counts.groupBy(*FILE, "field").agg(F.sum("n").alias("carriers"), kind.alias("kind"))
+    fields = counts.where(F.col("field").isNotNull()).groupBy(*FILE, "field").agg(F.sum("n").alias("carriers"), kind.alias("kind"))
     layout = fields.join(files, FILE).where(F.col("carriers") * HAS_FIELD >= F.col("n_records"))
     return layout.select(*FILE, "field", "kind", "next_file"), files
 
@@ -56,27 +79,33 @@ def raw_changes(layout: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def leaf_values(value: Column) -> Column:
-    """The scalars inside a variant, each in one notation whatever its form.
+    """Hashes of the scalars inside a variant, each in one notation whatever its form.
 
     Numbers and numeric text are equal; times in seconds, milliseconds, microseconds or ISO text are
     whole epoch seconds; text is lower case without a leading ``r/``, ``u/`` or ``t3_``-like mark.
+    Only objects and arrays are taken apart as text; a scalar is read as it is.
     """
-    text = F.to_json(F.struct(value.alias("v")))
-    inside = F.substring(text, 6, 2147483647)  # after {"v":
-    tokens = F.regexp_extract_all(inside, F.lit(r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false'), F.lit(0))
-    scalars = F.filter(tokens, lambda t: ~t.endswith(":"))
-    return F.array_distinct(F.filter(F.transform(scalars, canonical), lambda x: x.isNotNull()))
-
-
-def canonical(token: Column) -> Column:
-    text = F.when(token.startswith('"'), F.substring(token, 2, 2147483647)).otherwise(token)
-    text = F.trim(F.regexp_replace(text, r'"$', ""))
-    number = F.when(text.rlike(r"^-?\d[\d.eE+-]*$"), text.try_cast("double"))
-    moment = F.when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), F.unix_timestamp(F.try_to_timestamp(text)).cast("double"))
+    kind = F.schema_of_variant(value)
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    tokens = F.regexp_extract_all(F.to_json(value), F.lit(r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false'), F.lit(0))
+    parts = F.transform(F.filter(tokens, lambda t: ~t.endswith(":")), lambda t: F.regexp_replace(t, r'^"|"$', ""))
+    texts = F.when(nested, parts).otherwise(F.array(F.try_variant_get(value, "$", "string")))
+    return F.array_distinct(F.filter(F.transform(texts, canonical), lambda x: x.isNotNull()))
+
+
+def canonical(text: Column) -> Column:
+    """Hash of a scalar in its one notation; null for null and empty text.  The patterns run only on text that begins like theirs."""
+    text = F.trim(text)
+    digits = F.substring(text, 1, 1).between("0", "9") | text.startswith("-")
+    number = F.when(digits & text.rlike(r"^-?\d[\d.eE+-]*$"), text.try_cast("double"))
+    dated = (F.length(text) >= 16) & (F.substring(text, 5, 1) == "-") & text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
+    moment = F.when(dated, F.unix_timestamp(F.try_to_timestamp(text)).cast("double"))
     seconds = F.when(F.abs(number) >= 1e14, number / 1e6).when(F.abs(number) >= 1e11, number / 1e3).otherwise(number)
     whole = F.coalesce(moment, F.when(F.abs(seconds) >= 1e8, F.floor(seconds).cast("double")).otherwise(seconds))
-    plain = F.regexp_replace(F.lower(text), r"^(?:[ru]/|t\d_)", "")
-    return F.when(whole.isNotNull(), F.concat(F.lit("n:"), whole.cast("string"))).when(plain != "", F.concat(F.lit("s:"), plain))
+    low = F.lower(text)
+    marked = (F.substring(low, 2, 1) == "/") | (F.substring(low, 3, 1) == "_")
+    plain = F.when(marked, F.regexp_replace(low, r"^(?:[ru]/|t\d_)", "")).otherwise(low)
+    return F.when(digits & whole.isNotNull(), F.xxhash64(F.lit(1), whole)).when(plain != "", F.xxhash64(F.lit(2), plain))
 
 
 def renames(records: DataFrame, changes: DataFrame, files: DataFrame, scratch: Scratch) -> DataFrame:
@@ -123,7 +152,7 @@ def survey_layouts(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     """(records, layout, files, changes); the last three are small and written once."""
     scratch = Scratch(df.sparkSession)
     records = read_records(df)
-    layout, files = file_layouts(records)
+    layout, files = file_layouts(records, scratch)
     layout, files = scratch.save(layout, "layout"), scratch.save(files, "files")
     return records, layout, files, scratch.save(all_changes(records, layout, files, scratch), "changes")
 
@@ -217,7 +246,7 @@ def rescue_ingest(df: DataFrame, payload: str = "payload", targets: Mapping[str,
     here = fields.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("target", "field"))).alias("here"))
     ever = fields.groupBy("feed", "target").agg(F.sort_array(F.collect_set("field")).alias("names"))
     ever = ever.groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("target", "names"))).alias("ever"))
-    lines = df.withColumn("__v", F.when(F.ltrim(F.col(payload)).startswith("{"), F.try_parse_json(F.col(payload)))).withColumn("doc", F.expr("cast(__v as map<string, variant>)"))
+    lines = with_document(df, payload)
     rows = lines.join(here, FILE, "left").join(ever, "feed", "left")
     keys = {}
     for target in targets:
