@@ -70,19 +70,19 @@ def p2_max_depth(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("subreddit is not null and month is not null").join(depths, "comment_id").groupBy("subreddit", "month").agg(F.max("depth").alias("max_depth"))
 
 
-def community_totals(spark: SparkSession, d: str) -> DataFrame:
-    return skew.key_totals(table(spark, d, "author_counts"), compare_name(F.col("subreddit")), valid_author(F.col("author")), F.col("comment_count"))
+def counted_authors(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "author_counts"), compare_name(F.col("subreddit")), valid_author(F.col("author")), F.col("comment_count")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Communities with at least 5 percent of the rows or of the counts."""
-    return skew.dominant_keys(community_totals(spark, d)).select(F.col("key").alias("subreddit"))
+    return skew.dominant_keys(skew.key_sums(*counted_authors(spark, d))).select(F.col("key").alias("subreddit"))
 
 
 def p3_community_totals(spark: SparkSession, d: str) -> DataFrame:
     """Rows, counts, number of authors and top authors' shares per community."""
     names = {"key": "subreddit", "value_total": "comment_total", "n_members": "n_authors", "member_total": "author_total"}
-    totals = community_totals(spark, d)
+    totals = skew.key_totals(*counted_authors(spark, d))
     return totals.select(*[F.col(c).alias(names.get(c, c)) for c in totals.columns])
 
 
