@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.columns import compare_name, epoch_day, epoch_month, is_placeholder, valid_author
 from threadloom.llm import distinct, leakage, packing, quantiles, sentences
-from threadloom.session import Scratch
 from threadloom.sources.tables import table
 
 GROUPS = ["day", "month", "subreddit"]
@@ -35,11 +34,8 @@ def p5_distinct_authors(spark: SparkSession, d: str) -> DataFrame:
     ``authors_in_both`` are those of an AND of the comment and submission bitmaps.  Null, blank and
     placeholder authors are none; rows lacking a column of a level do not count in that level.
     """
-    rows = author_rows(spark, d)
-    scratch = Scratch(spark)
-    codes = distinct.encode_members(rows.select("member", F.col("subreddit").alias("home")), scratch)
-    parts = distinct.partial_bitmaps(rows, codes, GROUPS, KINDS)
-    rolled = distinct.roll_up(parts, LEVELS, GROUPS, KINDS)
+    coded = distinct.bucketed(author_rows(spark, d), GROUPS, KINDS)
+    rolled = distinct.bucket_bitmaps(coded, GROUPS, KINDS, LEVELS)
     bits = {"unique_comment_authors": F.col("comment"), "unique_submission_authors": F.col("submission"), "unique_counted_authors": F.col("counted")}
     both = {"authors_in_both": F.col("comment").bitwiseAND(F.col("submission")), "authors_in_any": F.col("comment").bitwiseOR(F.col("submission")).bitwiseOR(F.col("counted"))}
     out = distinct.level_names(distinct.count_bits(rolled, ["level", *GROUPS], bits | both), LEVELS)
