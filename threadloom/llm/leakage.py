@@ -16,12 +16,15 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import Scratch
+
 EXACT_WORDS = 10
 FUZZY_WORDS, FUZZY_EDITS = 20, 3
 EXACT_CHARS = 20
@@ -181,15 +184,28 @@ class Bm25Index:
                 head[0] = rows[head[1]]
 
 
+def runs_of(terms: Sequence, length: int) -> Iterator[tuple]:
+    """All runs of so many neighbouring terms."""
+    return zip(*(terms[i:] for i in range(length)))
+
+
 def contains_run(window: Sequence, length: int, runs: set) -> bool:
-    return any(tuple(window[i : i + length]) in runs for i in range(len(window) - length + 1))
+    return not runs.isdisjoint(runs_of(window, length))
 
 
 def contains_edited(window: Sequence[int], item: Sequence[int], words: int = FUZZY_WORDS, edits: int = FUZZY_EDITS) -> bool:
-    """True if any run of ``words`` item words occurs in the window with at most ``edits`` edits, by bit-parallel matching."""
+    """True if any run of ``words`` item words occurs in the window with at most ``edits`` edits.
+
+    A run is cut into edits + 1 blocks, one of which no edit can touch; only runs with a block that
+    stands in the window as it is are matched, bit-parallel.
+    """
+    size = words // (edits + 1)
+    seen = set(runs_of(window, size))
+    whole_blocks = [at for at, run in enumerate(runs_of(item, size)) if run in seen]
+    starts = {at - k * size for at in whole_blocks for k in range(edits + 1)}
     top = 1 << (words - 1)
     whole = (1 << words) - 1
-    for start in range(len(item) - words + 1):
+    for start in sorted(s for s in starts if 0 <= s <= len(item) - words):
         masks: dict[int, int] = {}
         for k, term in enumerate(item[start : start + words]):
             masks[term] = masks.get(term, 0) | 1 << k
@@ -272,32 +288,38 @@ class Detector:
 def find_leaks(documents: DataFrame, items: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """``item_id, doc_id`` of every document that contains a passage of an item, each pair once.
 
-    Items are indexed in passes of a fixed number, which bounds what is broadcast; every pass reads
-    all documents once and shuffles nothing.  Items without id or text and empty tables give no rows.
+    The index of a fixed number of items is built once, broadcast and kept by every worker for all
+    its tasks.  More items take more passes over the documents, one after the other: a pass is
+    written and its index dropped before the next, so what is broadcast at a time has one bound.
+    Items without id or text and empty tables give no rows.
     """
     spark = documents.sparkSession
     rows = items.where("item_id is not null and item_text is not null").select("item_id", "item_text", "lang").orderBy("item_id").toLocalIterator()
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found, block = [], []
 
-    def search(part: list[tuple[int, str, str | None]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(part)
+    def search(part: list[tuple[int, str, str | None]]):
+        shared = spark.sparkContext.broadcast(Detector(part))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            detector = Detector(shared.value)
+            detector = shared.value
             for batch in batches:
                 pairs = [(item, doc) for doc, text in zip(batch["doc_id"], batch["text"]) for item in detector.leaks(text)]
                 yield pd.DataFrame(pairs, columns=["item_id", "doc_id"]).astype("int64")
 
-        return docs.mapInPandas(run, "item_id long, doc_id long")
-
-    for row in rows:
-        block.append((row.item_id, row.item_text, row.lang))
-        if len(block) == items_a_pass:
-            found.append(search(block))
-            block = []
-    if block or not found:
-        found.append(search(block))
+        return docs.mapInPandas(run, "item_id long, doc_id long"), shared
+
+    found, block, scratch = [], [(r.item_id, r.item_text, r.lang) for r in islice(rows, items_a_pass)], Scratch(spark)
+    while True:
+        following = [(r.item_id, r.item_text, r.lang) for r in islice(rows, items_a_pass)]
+        pairs, shared = search(block)
+        if found or following:
+            found.append(scratch.save(pairs, "leaks"))
+            shared.destroy()
+        else:
+            found.append(pairs)
+        if not following:
+            break
+        block = following
     whole = found[0]
     for part in found[1:]:
         whole = whole.unionByName(part)
