@@ -4,33 +4,45 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
-from collections import Counter
-from collections.abc import Iterator, Mapping
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
+from collections.abc import Container, Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import Scratch
+
 PLACEHOLDERS = ("[deleted]", "[removed]")
 DECISIONS_BROADCAST = 200_000  # corpus decisions that are broadcast at most; more are joined by document
 
-# Abbreviations of the languages at hand, in lower case and without the last dot.
-TITLES = frozenset(
-    "dr prof mr mrs ms mx st rev hon fr sr sra srta dra d dª m mm mme mlle mgr me pr hr fr hrn dipl ing med phil jur rer nat habil gen col capt lt sgt maj cmdr gov sen rep pres supt "
-    "проф акад г-н г-жа им ул пр пер д кв корп обл р-н гр тов κ κα καθ δρ αγ ดร นพ พญ ผศ รศ ศ น.ส पं डॉ डा श्री प्रो सुश्री कु د أ م".split()
-)
-BEFORE_NUMBER = frozenset(
+
+class Prior:
+    """Abbreviations known beforehand, in lower case and without the last dot, by what stands behind them."""
+
+    def __init__(self, titles: str, before_number: str, continuing: str, ending: str, before_capital: str, also_words: str):
+        self.titles, self.before_number, self.continuing = (frozenset(x.split()) for x in (titles, before_number, continuing))
+        self.ending, self.ambiguous_before_capital, self.also_words = (frozenset(x.split()) for x in (ending, before_capital, also_words))
+
+
+# The prior beside a corpus, asked only where neither the document nor the corpus shows what a token is.
+CORE_PRIOR = Prior(
+    "dr prof mr mrs ms st sr sra hr fr m mme г-н ул проф κ डॉ", "no nos nr núm n fig vol p pp pág art ca approx стр рис с σελ पृ", "vs cf e.g i.e al z.b d.h u.a p.ej p.ex т.е π.χ",
+    "etc usw u.s.w a.m p.m u.s u.k e.u jr inc ltd co т.д т.п κ.λπ ee.uu", "u.s u.k e.u jr inc ltd co", "no nos fig art p s c st co m fr",
+)
+# The wide prior that stands in for a corpus where there is none.
+WIDE_PRIOR = Prior(
+    "dr prof mr mrs ms mx st rev hon fr sr sra srta dra d dª m mm mme mlle mgr me pr hr hrn dipl ing med phil jur rer nat habil gen col capt lt sgt maj cmdr gov sen rep pres supt "
+    "проф акад г-н г-жа им ул пр пер д кв корп обл р-н гр тов κ κα καθ δρ αγ ดร นพ พญ ผศ รศ ศ น.ส पं डॉ डा श्री प्रो सुश्री कु د أ م",
     "no nos nr nrs núm n fig figs vol vols p pp pg pgs bldg apt ste ch chap sec art arts para eq tab tbl abb bd s st kap ziff abs rn ca approx aprox env ungef c v ver "
-    "рис табл стр с гл ст п пп № εικ σελ αρ ص ج पृ सं क्र ม ข้อ หน้า jan feb mar apr jun jul aug sep sept oct nov dec".split()
-)
-CONTINUING = frozenset(
+    "рис табл стр с гл ст п пп № εικ σελ αρ ص ج पृ सं क्र ม ข้อ หน้า jan feb mar apr jun jul aug sep sept oct nov dec",
     "vs cf viz i.e e.g eg ie al inkl exkl bzw vgl evtl ggf sog z.b d.h u.a s.o o.ä z.t i.d.r m.e dept ext est incl excl resp p.ej p.ex c.-à-d т.е т.н т.к см ср напр тыс млн млрд "
-    "π.χ δηλ βλ τηλ मि.ग्रा कि.ग्रा मि.ली कि.मी से.मी रु มก มล กก กม ซม ถ จ อ ต ช.ม พ.ศ ค.ศ พ.ต.ท".split()
-)
-ENDING = frozenset("etc usw u.s.w a.m p.m u.s u.k u.s.a e.u d.c jr inc ltd co corp llc bros т.д т.п др руб коп г гг кг κ.λπ κ.λ.π κ.ά κλπ ecc enz ee.uu a.c d.c n.chr v.chr ph.d m.d b.a m.a b.sc m.sc".split())
-AMBIGUOUS_BEFORE_CAPITAL = frozenset("u.s u.k u.s.a e.u jr inc ltd co corp llc bros ph.d m.d b.a m.a b.sc m.sc г".split())
-ALSO_WORDS = frozenset("no nos fig art p s c v st mar jun sec co me d m gen al rep pres hon est ext fr".split())
+    "π.χ δηλ βλ τηλ मि.ग्रा कि.ग्रा मि.ली कि.मी से.मी रु มก มล กก กม ซม ถ จ อ ต ช.ม พ.ศ ค.ศ พ.ต.ท",
+    "etc usw u.s.w a.m p.m u.s u.k u.s.a e.u d.c jr inc ltd co corp llc bros т.д т.п др руб коп г гг кг κ.λπ κ.λ.π κ.ά κλπ ecc enz ee.uu a.c n.chr v.chr ph.d m.d b.a m.a b.sc m.sc",
+    "u.s u.k u.s.a e.u jr inc ltd co corp llc bros ph.d m.d b.a m.a b.sc m.sc г", "no nos fig art p s c v st mar jun sec co me d m gen al rep pres hon est ext fr",
+)
 GERMAN_MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep sept okt nov dez".split())
 GERMAN_BEFORE_ORDINAL = frozenset("am dem den der die das des zum vom im beim ab bis seit ihr sein mein unser jeder jeden".split())
 
@@ -49,13 +61,22 @@ _EMOTICON = re.compile(r"(?<![\w.])(?:[:;=8][-'^]?[)(\]\[DPpOo3/\\|*]+|<3+|</3|\
 _EMOJI = "[\U0001f000-\U0001faff☀-➿⬀-⯿\U0001f1e6-\U0001f1ff]"
 _CLOSING_SMILES = re.compile(rf"(?:[^\S\n]*(?:{_EMOJI}[︎️\U0001f3fb-\U0001f3ff‍]*)+|[^\S\n]+{_EMOTICON.pattern}(?=\s|$))+")
 _MARKS = re.compile(rf"[{re.escape(STRONG)}.…;;]")
-_TOKEN_BEFORE = re.compile(r"[^\s(\[{«»“”„\"<>,;:!?¡¿（「、，。/]*$")
+_SEPARATOR = re.compile(r"[\s(\[{«»“”„\"<>,;:!?¡¿（「、，。/]")
+_IS_SEPARATOR = np.zeros(0x110000, dtype=bool)
+_IS_SEPARATOR[[m.start() for m in _SEPARATOR.finditer("".join(map(chr, range(0xD800))))]] = True  # none of them has a higher number but the wide ones
+_IS_SEPARATOR[[ord(c) for c in "（，"]] = True
+_INSIDE = re.compile(r"[^\s/]*")
+_LEADING = re.compile(r"[ \t\n\xa0—–-]*")
+_BRACKETS = re.compile(f"[\"'{re.escape(''.join(dict.fromkeys(''.join(PAIRS) + ''.join(PAIRS.values()))))}]")
 _THAI = "ก-๛"
 _THAI_BLANK = re.compile(rf"(?<=[{_THAI}])([^\S\n]+)(?=\S)")
 _LATIN_RUN = re.compile(r"[^\W\d_฀-๿]+(?:[-'’][^\W\d_]+)*")
 _THAI_FINAL = ("ครับ", "ค่ะ", "คะ", "จ้ะ", "จ้า")
 _WORD = re.compile(r"[^\W\d_]+")
-_DOTTED = re.compile(r"([^\W\d_]{1,8})\.(?=(\s*)(\S?))")
+_WORD_ALONE = re.compile(r"(?<![\w.])[^\W\d_]+(?!\w|\.\w)")
+_DOT = re.compile(r"(?<![.…\s])\.(?![.…\w])")
+_FOLLOWING = re.compile(r"(\s*)([^\W\d_]+|\S?)")
+_PLAIN_NUMBER = re.compile(r"(?<=[^\S\n])\d{1,2}(?![\d.]|[,:]\d)")
 _MID_CAPITAL = re.compile(r"(?<=[^\W\d_A-Z] )([A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)")
 
 
@@ -70,48 +91,168 @@ def letter_case(c: str) -> str:
     return "o" if c.isalpha() or unicodedata.category(c)[0] == "M" else ""
 
 
-class DocumentEvidence:
-    """What the document itself shows about a word, gathered when it is first asked for."""
+# What is known of a kind of token: bits that say where a dot behind it ends nothing, or does before a capital.
+BEFORE_LOWER, BEFORE_DIGIT, BEFORE_CAPITAL, ENDS_BEFORE_CAPITAL, BEFORE_CASELESS, IS_NAME, IS_COMMON = (1 << k for k in range(7))
+NAMED_BITS = {"abbreviation": BEFORE_LOWER | BEFORE_DIGIT, "name": IS_NAME, "common": IS_COMMON}
+CONTEXTS = ("lower", "comma", "digit", "capital", "common", "named", "caseless", "close")  # what stands behind a dotted token
+
+
+class Tokens:
+    """Tokens of a text that end at a given place, found from the separators in linear time."""
 
     def __init__(self, text: str):
         self.text = text
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.separators = np.flatnonzero(_IS_SEPARATOR[codes]).tolist()
+
+    def begin(self, at: int, opened: int) -> int:
+        """Where the token that ends before ``at`` begins."""
+        n = bisect_left(self.separators, at)
+        return max(opened, self.separators[n - 1] + 1 if n else 0)
+
+    def before(self, begin: int, opened: int) -> tuple[int, int]:
+        """(begin, end) of the token before the one that begins here; equal where there is none."""
+        text = self.text
+        while begin > opened and text[begin - 1].isspace():
+            begin -= 1
+        return self.begin(begin, opened), begin
+
+
+def kind_of_token(text: str, tokens: Tokens, begin: int, at: int, opened: int) -> str:
+    """The token in lower case; a day number is named by the word before it, as in ``dem #``."""
+    token = text[begin:at].lstrip("'’‘*_~").casefold()
+    if at - begin > 2 or not token.isdigit():
+        return token
+    first, last = tokens.before(begin, opened)
+    if first == last or "\n" in text[last:begin] and text[last - 1] in STRONG + DOTS:
+        return ""
+    word = text[first:last].rstrip(".").casefold()
+    return f"{'#' if word.isdigit() and text[last - 1] == '.' else word} #"
+
+
+def is_lowercased(text: str) -> bool:
+    """True where sentences mostly begin in lower case; two such places are no proof in a text that begins with a capital."""
+    low = capital = 0
+    for m in _NEW_SENTENCE.finditer(text):
+        if m[1]:
+            low += 1
+        else:
+            capital += 1
+    return low > capital and (low > 2 or not next((c for c in text if c.isalpha()), "").isupper())
+
+
+_NEW_SENTENCE = re.compile(r"[.!?…]\s+(?:([a-zß-ÿа-яα-ω])|[A-ZÀ-ÞА-ЯΑ-Ω])")
+
+
+def dot_contexts(text: str, tokens: Tokens, words: Container[str], names: Container[str]) -> Iterator[tuple[str, int]]:
+    """(kind of token, number of its context) of every single dot behind a token.
+
+    A capital is common when its word also stands in lower case in the same document, and named when
+    it is an initial or its word also stands inside a sentence there with its capital.
+    """
+    for m in _DOT.finditer(text):
+        at = m.start()
+        begin = tokens.begin(at, 0)
+        if begin == at:
+            continue
+        kind = kind_of_token(text, tokens, begin, at, 0)
+        if not kind or kind[-1] == "#" and "\n" in text[begin - 2 : begin]:  # a number that begins a line may be a list mark
+            continue
+        follow = _FOLLOWING.match(text, at + 1)
+        gap, word = follow[1], follow[2]
+        if not word or gap.count("\n") > 1 or not gap and word in CLOSERS:
+            yield kind, 7
+        elif not gap:
+            if word in ",;:":
+                yield kind, 1
+        elif word[0].isdigit():
+            if "\n" not in gap:
+                yield kind, 2
+        elif (case := letter_case(word[0])) == "l":
+            yield kind, 0
+        elif case == "u":
+            yield kind, 5 if word in names or text.startswith(".", follow.end()) and len(word) == 1 else 4 if word.lower() in words else 3
+        elif case == "o":
+            yield kind, 6
+
+
+def judge(kind: str, every: int, counts: Sequence[int], least: int) -> int:
+    """What counts by context say of a kind of token; ``every`` counts it as a word with and without dot.
+
+    An ordinary word at the end of a sentence is mostly followed by a capital, often of a common
+    word, or by the end of a text; an abbreviation goes on in lower case, with a comma or a number, or
+    stands before names only and hardly ever without its dot.  The longer the token the more it takes.
+    """
+    lower, comma, digit, capital, common, named, caseless, close = counts
+    capital += common + named
+    dotted = lower + comma + digit + capital + caseless + close
+    bound = dotted * 10 >= 9 * max(every, dotted)
+    onward = lower + comma + digit
+    bits = 0
+    if lower + comma >= least and ((lower + comma) * 5 >= dotted if bound else onward * 10 >= 9 * dotted):
+        bits |= BEFORE_LOWER
+    if digit >= least and digit * 5 >= dotted:
+        bits |= BEFORE_DIGIT
+    rarely = bound and close * 10 <= dotted
+    before_names = rarely and named >= least and named * 10 >= capital and named >= 2 * common
+    never_new = capital >= 3 * least << max(0, len(kind) - 4) and common * 50 <= capital and close * 50 <= dotted and dotted * 5 >= 2 * every
+    day_number = rarely and kind[-1] == "#" and common * 10 <= capital
+    if dotted >= least + 2 and (onward * 10 >= 9 * dotted or day_number) or before_names or never_new:
+        bits |= BEFORE_CAPITAL
+    elif bound and bits and capital >= least:
+        bits |= ENDS_BEFORE_CAPITAL
+    if bound and dotted >= least and close * 10 <= dotted and ("." in kind or len(kind) <= 2):
+        bits |= BEFORE_CASELESS
+    return bits
+
+
+class DocumentEvidence:
+    """What the document itself shows about a word, gathered when it is first asked for."""
+
+    def __init__(self, text: str, tokens: Tokens, lowercased: bool):
+        self.text, self.tokens, self.lowercased = text, tokens, lowercased
+        self.known: dict[str, int] = {}
         self.ready = False
 
     def gather(self) -> None:
-        words = _WORD.findall(self.text)
-        self.lower = {w for w in words if w.islower()}
-        self.every = Counter(w.casefold() for w in words)
-        self.dotted, self.continued = Counter(), Counter()
-        for m in _DOTTED.finditer(self.text):
-            self.dotted[m[1].casefold()] += 1
-            if m[3] in ",;:" and m[3] or m[2] and m[3] and (m[3].islower() or m[3].isdigit()):
-                self.continued[m[1].casefold()] += 1
+        every = _WORD_ALONE.findall(self.text)
+        self.words = set(every)
         self.names = set(_MID_CAPITAL.findall(self.text))
+        self.counts: dict[str, list[int]] = {}
+        if not self.lowercased:
+            for kind, context in dot_contexts(self.text, self.tokens, self.words, self.names):
+                self.counts.setdefault(kind, [0] * len(CONTEXTS))[context] += 1
+        many = {kind for kind, counts in self.counts.items() if sum(counts) > 1}
+        self.every = Counter(w for w in map(str.casefold, every) if w in many) if many else {}
         self.ready = True
 
-    def is_abbreviation(self, token: str) -> bool | None:
-        """True or False where occurrences elsewhere in the document are clear, else None."""
+    def bits(self, kind: str) -> int:
+        """What at least two clear occurrences in the document say, else 0."""
         if not self.ready:
             self.gather()
-        plain = self.every[token] - self.dotted[token]
-        if plain:
-            return False
-        return True if self.continued[token] >= 2 and self.continued[token] * 2 >= self.dotted[token] else None
+        if kind not in self.known:
+            counts = self.counts.get(kind)
+            self.known[kind] = judge(kind, self.every.get(kind, 0), counts, 2) & (BEFORE_LOWER | BEFORE_DIGIT) if counts and sum(counts) > 1 else 0
+        return self.known[kind]
 
     def is_common(self, word: str) -> bool | None:
         """True for a word seen in lower case, False for one only seen as a name inside sentences, else None."""
         if not self.ready:
             self.gather()
-        if word.lower() in self.lower:
+        if word.lower() in self.words:
             return True
         return False if word in self.names else None
 
 
 class Segmenter:
-    """``corpus`` maps a lower-case token to 'abbreviation', 'common' or 'name' where the corpus is clear."""
+    """Settles a dot by the document, then by ``corpus``, and only then by a prior.
 
-    def __init__(self, corpus: Mapping[str, str] | None = None):
-        self.corpus = corpus or {}
+    ``corpus`` maps a kind of token to its bits, or to 'abbreviation', 'name' or 'common'.
+    """
+
+    def __init__(self, corpus: Mapping[str, int] | None = None):
+        self.prior = WIDE_PRIOR if corpus is None else CORE_PRIOR
+        self.corpus = {token: NAMED_BITS[known] if isinstance(known, str) else known for token, known in (corpus or {}).items()}
 
     def ends(self, text: str | None) -> list[int]:
         """Ends of sentences as numbers of code points, ascending; none for null and blank texts."""
@@ -123,33 +264,30 @@ class Segmenter:
         if text.strip().lower() in PLACEHOLDERS:
             return [whole]
         out: list[int] = []
-        self.evidence = DocumentEvidence(text)
-        self.lowercased = self._is_lowercased(text)
+        self.lowercased = is_lowercased(text)
+        self.tokens = Tokens(text)
+        self.evidence = DocumentEvidence(text, self.tokens, self.lowercased)
         for start, end, marks in self._blocks(text, whole):
             self._block(text, start, end, marks, out)
         return out
 
-    @staticmethod
-    def _is_lowercased(text: str) -> bool:
-        low = len(re.findall(r"[.!?…]\s+[a-zß-ÿа-яα-ω]", text))
-        return low > 0 and low > len(re.findall(r"[.!?…]\s+[A-ZÀ-ÞА-ЯΑ-Ω]", text))
-
     def _blocks(self, text: str, whole: int) -> Iterator[tuple[int, int, set[int]]]:
         """Spans between blank lines and before list marks, with the positions of the dots of list numbers."""
         cuts, marks = {0, whole}, set()
         for m in _BLANK_LINE.finditer(text, 0, whole):
             cuts.add(m.start())
         number = 0
-        first = _FIRST_MARK.match(text)
-        if first and int(first[1]) <= 1:
-            marks.add(first.end() - 1)
-            number = int(first[1])
+        lead = _FIRST_MARK.match(text)
+        if lead and int(lead[1]) <= 1:
+            marks.add(lead.end() - 1)
+            number = int(lead[1])
         for m in _LIST_MARK.finditer(text, 0, whole):
             if m[2]:
-                before = _TOKEN_BEFORE.search(text, max(0, m.start() - 20), m.start())
-                word = before[0].rstrip(".").casefold() if before else ""
-                after = text[m.end() :].lstrip()[:1]
-                if int(m[2]) != number + 1 and int(m[2]) != 1 or word in BEFORE_NUMBER or word in GERMAN_BEFORE_ORDINAL or after.isdigit() or after.islower() and not number and int(m[2]) != 1:
+                first, last = self.tokens.before(m.start(), 0)
+                word = text[first:last].rstrip(".").casefold()
+                after = self._after(text, m.end(), whole)[1]
+                known = self.corpus.get(word, 0) & BEFORE_DIGIT and text[last - 1 : last] == "." or self.corpus.get(f"{word} #", 0) & (BEFORE_LOWER | BEFORE_DIGIT | BEFORE_CAPITAL)
+                if int(m[2]) != number + 1 and int(m[2]) != 1 or known or word in self.prior.before_number or word in GERMAN_BEFORE_ORDINAL or after.isdigit() or after.islower() and not number and int(m[2]) != 1:
                     continue
                 number = int(m[2])
                 marks.add(m.end() - 1)
@@ -163,35 +301,46 @@ class Segmenter:
 
     def _regions(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
         """Outermost quotations and round brackets as (first, last) positions; unmatched marks protect nothing."""
+        found: list[tuple[int, int]] = []
+        places = [m.start() for m in _BRACKETS.finditer(text, start, end)]
+        if not places:
+            return found
         smiles = {k for m in _EMOTICON.finditer(text, start, end) for k in range(m.start(), m.end())}
         stack: list[tuple[str, int]] = []
-        found: list[tuple[int, int]] = []
-        for k in range(start, end):
+        waiting: Counter = Counter()  # how many open marks each closing mark could close
+
+        def close(c: str) -> int:
+            """Takes marks off the stack down to the last that ``c`` closes, and returns its place."""
+            while True:
+                closers, at = stack.pop()
+                for x in closers:
+                    waiting[x] -= 1
+                if c in closers:
+                    return at
+
+        def put(closers: str, at: int) -> None:
+            stack.append((closers, at))
+            for x in closers:
+                waiting[x] += 1
+
+        for k in places:
             c = text[k]
-            if c.isalnum() or c.isspace() or k in smiles:
+            if k in smiles:
                 continue
-            closed = False
             if c in "\"'":
                 before, after = text[k - 1] if k > start else " ", text[k + 1] if k + 1 < end else " "
                 opens = (before.isspace() or before in "([¿¡—–-") and not after.isspace()
                 closes = not before.isspace() and not (c == "'" and after.isalnum())
-                at = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == c), -1)
-                if at >= 0 and (closes or c == '"' and not opens):
-                    found.append((stack[at][1], k))
-                    del stack[at:]
-                elif opens or c == '"' and at < 0 and before in PAIRS:
-                    if at >= 0:
-                        del stack[at:]
-                    stack.append((c, k))
-                continue
-            for n in range(len(stack) - 1, -1, -1):
-                if c in stack[n][0] and stack[n][0] not in "\"'":
-                    found.append((stack[n][1], k))
-                    del stack[n:]
-                    closed = True
-                    break
-            if not closed and c in PAIRS:
-                stack.append((PAIRS[c], k))
+                if waiting[c] and (closes or c == '"' and not opens):
+                    found.append((close(c), k))
+                elif opens or c == '"' and not waiting[c] and before in PAIRS:
+                    if waiting[c]:
+                        close(c)
+                    put(c, k)
+            elif waiting[c]:
+                found.append((close(c), k))
+            elif c in PAIRS:
+                put(PAIRS[c], k)
         found.sort()
         outer: list[tuple[int, int]] = []
         for a, b in found:
@@ -270,7 +419,7 @@ class Segmenter:
         place, following = self._after(text, last, end)
         if not following or last < end and text[last] in STRONG + DOTS + ",;:，、；：":
             return None
-        leads = not text[opened:at].strip(" \t\n\xa0—–-")  # the sentence begins with the quotation
+        leads = _LEADING.match(text, opened, at).end() == at  # the sentence begins with the quotation
         kind = letter_case(following)
         if kind == "l":
             return last if self.lowercased and not leads and place > last else None
@@ -285,12 +434,11 @@ class Segmenter:
     def _thai_end(self, text: str, opened: int, at: int, last: int, end: int, marks: set[int]) -> int | None:
         """At a blank after Thai letters; blanks next to numbers, units, quotations and Latin names are inside."""
         place, following = self._after(text, at, end)
-        said = text[opened:at]
         kind = letter_case(following)
         if kind == "o":
             return at
         if following in "\"“'‘«":
-            return None if said.endswith("ว่า") else at
+            return None if text.endswith("ว่า", opened, at) else at
         if kind in ("u", "l"):
             words = []
             while True:
@@ -299,9 +447,9 @@ class Segmenter:
                     break
                 words.append(m[0])
                 place, _ = self._after(text, m.end(), end)
-            return at if said.endswith(_THAI_FINAL) or len(words) >= 4 or len(words) >= 2 and any(w.islower() for w in words) else None
+            return at if text.endswith(_THAI_FINAL, opened, at) or len(words) >= 4 or len(words) >= 2 and any(w.islower() for w in words) else None
         if kind == "n":
-            return at if said.endswith(_THAI_FINAL) else None
+            return at if text.endswith(_THAI_FINAL, opened, at) else None
         return None
 
     def _mark_end(self, text: str, opened: int, at: int, last: int, end: int, marks: set[int]) -> int | None:
@@ -331,77 +479,103 @@ class Segmenter:
 
     def _dot_end(self, text: str, opened: int, at: int, last: int, end: int, place: int, following: str, kind: str) -> int | None:
         """A single dot."""
-        token = _TOKEN_BEFORE.search(text, opened, at)[0].lstrip("'’‘*_~")
+        begin = self.tokens.begin(at, opened)
+        while begin < at and text[begin] in "'’‘*_~":
+            begin += 1
         stop = self._absorb(text, last, end)
-        if not token:
+        if begin == at:
             return None if kind in ("n", "l") and place == last else stop if at > opened and text[at - 1] in CLOSERS + "%°" else None if kind == "n" else stop
-        low = token.casefold()
-        tail = low.rpartition(".")[2]
         if place == last and kind:  # no blank: an end only between a whole word and a new capitalised one
-            if kind == "u" and token.isalpha() and len(token) > 2 and token[1:].islower() and low not in TITLES:
+            token = text[begin:at] if kind == "u" else ""
+            if token.isalpha() and len(token) > 2 and token[1:].islower() and token.casefold() not in self.prior.titles and not self._known(token.casefold()) & BEFORE_CAPITAL:
                 m = _WORD.match(text, place, end)
-                inside = re.match(r"\S*", text[place:end])[0]
-                if m and (len(m[0]) > 1 and m[0][1:].islower() or m[0] in ("I", "A")) and "/" not in inside and "@" not in token:
+                inside = _INSIDE.match(text, place, end).end()
+                if m and (len(m[0]) > 1 and m[0][1:].islower() or m[0] in ("I", "A")) and (inside == end or text[inside] != "/"):
                     return stop
             return None
         if following and following in ",;:)]}/%&=+-–—" and place == last:
             return None
         if not following:
             return stop
+        token = text[begin:at]
         if "฀" <= token[-1] <= "๿":
             return None
+        shown = self._shown(text, opened, begin, at, kind, place, end)
+        if shown is not None:
+            return stop if shown else None
+        low = token.casefold()
+        tail = low.rpartition(".")[2]
         if token[-1].isdigit() and not any(c.isalpha() for c in tail):
             return self._number_end(text, opened, at, token, following, kind, place, end, stop)
-        joined = self._joined(text, opened, at, low)
+        joined = self._joined(text, opened, begin, low)
         capital = kind == "u" or kind in ("", "o")
-        if joined in CONTINUING:
+        if joined in self.prior.continuing:
             return None
-        if joined in ENDING and joined != low:
+        if joined in self.prior.ending and joined != low:
             return stop if capital else None
         if len(low) == 2 and low[0] == low[1] and token.isupper() and re.match(r"\s*([A-Z])\1\.", text[last : last + 6]):
             return None
-        if low in TITLES and low not in ALSO_WORDS or tail in TITLES and "." in low and len(tail) > 1:
+        if low in self.prior.titles and low not in self.prior.also_words or tail in self.prior.titles and "." in low and len(tail) > 1:
             return None
         if len(token) == 1:
             return self._letter_end(text, opened, at, token, kind, place, end, stop)
-        if low in BEFORE_NUMBER and (kind == "n" or low in ("approx", "aprox", "env", "ca", "bldg", "nos")):
+        if low in self.prior.before_number and (kind == "n" or low in ("approx", "aprox", "env", "ca", "bldg", "nos")):
             return None
-        if low in ENDING or "." in low and low not in CONTINUING:
+        if low in self.prior.ending or "." in low and low not in self.prior.continuing:
             if kind in ("l", "n") or following in "-–—":
                 return None
-            if low in AMBIGUOUS_BEFORE_CAPITAL and kind == "u":
+            if low in self.prior.ambiguous_before_capital and kind == "u":
                 return stop if self._common(text, place, end) is not False else None
             return stop
-        if low in CONTINUING:
+        if low in self.prior.continuing:
             return stop if low in ("al", "тыс", "млн", "млрд") and capital and kind else None
-        if low in TITLES:  # also an ordinary word: a title when a name follows
+        if low in self.prior.titles:  # also an ordinary word: a title when a name follows
             return None if kind == "u" and token[0].isupper() and self._common(text, place, end) is not True or self.lowercased and low in ("st", "fr", "d", "m") else stop
-        if self._abbreviation(low):
-            if kind in ("l", "n"):
-                return None
-            return None if kind == "u" and self._common(text, place, end) is False else stop
-        if kind == "l" and len(token) <= 3 and low not in self.evidence.every and not self.lowercased:
-            return None
         return stop
 
-    @staticmethod
-    def _joined(text: str, opened: int, at: int, low: str) -> str:
-        """The abbreviation ending here with its blanks taken out, as in ``z. B.`` or ``т. д.``"""
-        m = re.search(r"((?:[^\W\d_]{1,3}\.\s{0,2}){1,3})$", text[max(opened, at - 14) : at + 1 - len(low) - 1])
-        if not m:
-            return low
-        parts = [p.strip() for p in m[1].split(".") if p.strip()]
+    def _known(self, kind: str) -> int:
+        """Bits of the document or else, where it says nothing, of the corpus."""
+        return self.evidence.bits(kind) | self.corpus.get(kind, 0) & ~(IS_NAME | IS_COMMON)
+
+    def _shown(self, text: str, opened: int, begin: int, at: int, kind: str, place: int, end: int) -> bool | None:
+        """Whether the dot ends a sentence by what is known of its token from other occurrences; None where that is not clear."""
+        bits = self._known(kind_of_token(text, self.tokens, begin, at, opened))
+        if not bits:
+            return None
+        if kind == "l":
+            return False if bits & BEFORE_LOWER and not self.lowercased or bits & BEFORE_CAPITAL else None
+        if kind == "n":
+            return False if bits & BEFORE_DIGIT else None
+        if kind == "o":
+            return False if bits & BEFORE_CASELESS else None
+        if kind == "u":
+            if bits & BEFORE_CAPITAL:
+                return False
+            if bits & ENDS_BEFORE_CAPITAL:
+                return True
+            return self._common(text, place, end) if at - begin > 1 else None
+        return None
+
+    def _joined(self, text: str, opened: int, begin: int, low: str) -> str:
+        """The abbreviation ending here with its blanks taken out, as in ``z. B.`` or ``т. д.``; it has at most four parts."""
+        parts = [low]
+        while len(parts) < 4:
+            first, last = self.tokens.before(begin, opened)
+            if last - first < 2 or begin - last > 2 or text[last - 1] != "." or not all(0 < len(p) <= 3 and p.isalpha() for p in text[first : last - 1].split(".")):
+                break
+            parts = [*text[first : last - 1].casefold().split("."), *parts]
+            begin = first
         for n in range(len(parts)):
-            name = ".".join([*parts[n:], low]).casefold()
-            if name in CONTINUING or name in ENDING:
+            name = ".".join(parts[n:])
+            if name in self.prior.continuing or name in self.prior.ending:
                 return name
         return low
 
     def _number_end(self, text: str, opened: int, at: int, token: str, following: str, kind: str, place: int, end: int, stop: int) -> int | None:
         """A dot after digits: an ordinal before a German month or noun, else an end."""
-        before = text[opened : at - len(token)].rstrip()
-        word = _TOKEN_BEFORE.search(before)[0].rstrip(".").casefold()
-        if not before and len(token) <= 3:
+        first, last = self.tokens.before(at - len(token), opened)
+        word = text[first:last].rstrip(".").casefold()
+        if last == opened and len(token) <= 3:
             return None
         ordinal = token.isdigit() and len(token) <= 2
         nxt = _WORD.match(text, place, end)
@@ -410,8 +584,10 @@ class Segmenter:
             return None
         if ordinal and word in GERMAN_BEFORE_ORDINAL:
             return None
-        if ordinal and kind in ("n", "l") and re.search(r"\b(?:[Aa]m|[Vv]om|[Zz]um|[Dd]en|[Dd]em|[Dd]er|[Bb]is)\s+\d{1,2}\.\s*$", before + " "):
-            return None
+        if ordinal and kind in ("n", "l") and word.isdigit() and text[last - 1] == ".":  # as in Am 27. 2.
+            first, last = self.tokens.before(first, opened)
+            if text[first:last].casefold() in GERMAN_BEFORE_ORDINAL:
+                return None
         return stop
 
     def _letter_end(self, text: str, opened: int, at: int, token: str, kind: str, place: int, end: int, stop: int) -> int | None:
@@ -422,15 +598,16 @@ class Segmenter:
             return None
         if token.islower() and re.match(r"[^\W\d_]\.", text[place : place + 2]):
             return None  # the first half of one like z. B.
-        before = _TOKEN_BEFORE.search(text[opened : at - 1].rstrip())[0]
+        first, last = self.tokens.before(at - 1, opened)
+        before = text[first:last]
         if kind == "u" and token.isupper():
             following = text[place + 1 : place + 2]
             named = following == "." or not before or before.endswith(".") or before[:1].isupper()
             if named or self._common(text, place, end) is not True:
                 return None
             return stop
-        if token.casefold() in CONTINUING | BEFORE_NUMBER | TITLES:
-            return None if kind == "u" and token.casefold() in TITLES or token.casefold() in CONTINUING else stop
+        if token.casefold() in self.prior.continuing | self.prior.before_number | self.prior.titles:
+            return None if kind == "u" and token.casefold() in self.prior.titles or token.casefold() in self.prior.continuing else stop
         return stop
 
     def _common(self, text: str, place: int, end: int) -> bool | None:
@@ -438,65 +615,88 @@ class Segmenter:
         m = _WORD.match(text, place, end)
         if not m:
             return None
+        if len(m[0]) == 1 and text.startswith(".", m.end()):
+            return False  # an initial
         known = self.evidence.is_common(m[0])
         if known is None:
-            known = {"common": True, "name": False}.get(self.corpus.get(m[0].casefold(), ""))
+            bits = self.corpus.get(m[0].casefold(), 0)
+            known = True if bits & IS_COMMON else False if bits & IS_NAME else None
         return known
 
-    def _abbreviation(self, low: str) -> bool:
-        """Whether a token outside the lists is an abbreviation, by the document, then by the corpus."""
-        if len(low) > 8 or not low.isalpha():
-            if not self.evidence.ready:
-                self.evidence.gather()
-            return False
-        known = self.evidence.is_abbreviation(low)
-        return self.corpus.get(low) == "abbreviation" if known is None else known
 
+COUNTED = ("every", "small", "name", *CONTEXTS)
 
-def word_evidence(texts: Iterator[str]) -> Counter:
-    """Counts by (token, kind): every, lower, name (capital inside a sentence), dotted, continued, after (an abbreviation)."""
-    out: Counter = Counter()
+
+def word_evidence(texts: Iterable[str]) -> dict[str, list[int]]:
+    """Counts by kind of token: as a word, in lower case, with a capital inside a sentence, and dotted by context.
+
+    Documents without capitals show nothing of all this and are left out.
+    """
+    out: dict[str, list[int]] = defaultdict(lambda: [0] * len(COUNTED))
     for text in texts:
-        words = Counter(_WORD.findall(text))
+        if is_lowercased(text):
+            continue
+        words = Counter(_WORD_ALONE.findall(text))
         for w, n in words.items():
-            if len(w) <= 24:
-                out[w.casefold(), "every"] += n
-                if w.islower():
-                    out[w, "lower"] += n
-        for w in _MID_CAPITAL.findall(text):
-            out[w.casefold(), "name"] += 1
-        for m in _DOTTED.finditer(text):
-            low = m[1].casefold()
-            out[low, "dotted"] += 1
-            if m[3] and (m[3] in ",;:" or m[2] and (m[3].islower() or m[3].isdigit())):
-                out[low, "continued"] += 1
+            row = out[w.casefold()]
+            row[0] += n
+            if w.islower():
+                row[1] += n
+        names = _MID_CAPITAL.findall(text)
+        for w in names:
+            out[w.casefold()][2] += 1
+        tokens = Tokens(text)
+        for m in _PLAIN_NUMBER.finditer(text):
+            first, last = tokens.before(m.start(), 0)
+            if word := text[first:last].rstrip(".").casefold():
+                out[f"{word} #"][0] += 1
+        for kind, context in dot_contexts(text, tokens, words, set(names)):
+            row = out[kind]
+            row[3 + context] += 1
+            if kind[-1] == "#":
+                row[0] += 1
     return out
 
 
 def corpus_decisions(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``token, kind`` for tokens on which the corpus is clear: 'abbreviation', 'common' or 'name'.
+    """``token, kind, bits`` for kinds of tokens on which the corpus is clear; ``kind`` is abbreviation, name or common.
 
-    Each task counts its batches before the shuffle, so a frequent word sends few rows.  An
-    abbreviation is followed by a dot nearly always and mostly goes on after it; a name is never
-    written in lower case and stands inside sentences.
+    Each task counts its batches before the shuffle, so a frequent word sends few rows.  A name is
+    never written in lower case and stands inside sentences; ``judge`` says what dots do.
     """
+    schema = "token string, " + ", ".join(f"{c} long" for c in COUNTED)
+
+    def rows_of(kept: dict[str, list[int]]) -> pd.DataFrame:
+        table = pd.DataFrame(list(kept.values()), columns=list(COUNTED), dtype="int64")
+        table.insert(0, "token", list(kept))
+        return table
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: Counter = Counter()
+        kept: dict[str, list[int]] = {}
         for batch in batches:
-            kept.update(word_evidence(t for t in batch["text"] if t))
-            if len(kept) > 400_000:
-                yield pd.DataFrame([(w, k, n) for (w, k), n in kept.items()], columns=["token", "kind", "n"])
-                kept.clear()
-        yield pd.DataFrame([(w, k, n) for (w, k), n in kept.items()], columns=["token", "kind", "n"]).astype({"n": "int64"})
+            for token, row in word_evidence(t for t in batch["text"] if t).items():
+                old = kept.get(token)
+                kept[token] = row if old is None else [a + b for a, b in zip(old, row)]
+            if len(kept) > 200_000:
+                yield rows_of(kept)
+                kept = {}
+        if kept:
+            yield rows_of(kept)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = [judge(token, every, counts, 3) for token, every, *counts in zip(batch["token"], batch["every"], *(batch[c] for c in CONTEXTS))]
+            yield pd.DataFrame({"token": batch["token"], "bits": bits, "word": batch["word"]}).assign(bits=lambda t: t["bits"] | t["word"])[["token", "bits"]]
 
-    counts = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(count, "token string, kind string, n long")
-    kinds = ("every", "lower", "name", "dotted", "continued")
-    table = counts.groupBy("token").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds])
-    abbreviation = (F.col("dotted") >= 3) & (F.col("continued") * 2 >= F.col("dotted")) & (F.col("dotted") * 10 >= F.col("every") * 9) & (F.length("token") <= 8)
-    name = (F.col("name") >= 2) & (F.col("lower") * 20 <= F.col("name"))
-    kind = F.when(abbreviation, "abbreviation").when(name, "name").when((F.col("lower") >= 2) & (F.col("name") * 20 <= F.col("lower")) & (F.col("every") > F.col("lower")), "common")
-    return table.select("token", kind.alias("kind")).where(F.col("kind").isNotNull())
+    counts = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(count, schema)
+    table = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTED])
+    name = (F.col("name") >= 2) & (F.col("small") * 20 <= F.col("name"))
+    common = (F.col("small") >= 2) & (F.col("name") * 20 <= F.col("small")) & (F.col("every") > F.col("small"))
+    table = table.withColumn("word", F.when(name, IS_NAME).when(common, IS_COMMON).otherwise(0))
+    dotted = sum((F.col(c) for c in CONTEXTS), F.lit(0))
+    useful = table.where((F.col("word") > 0) | (dotted >= 3)).mapInPandas(decide, "token string, bits int")
+    kind = F.when(F.col("bits").bitwiseAND(IS_NAME - 1) != 0, "abbreviation").when(F.col("bits").bitwiseAND(IS_NAME) != 0, "name").otherwise("common")
+    return useful.where("bits > 0").select("token", kind.alias("kind"), "bits")
 
 
 def _cut(schema_key: str, corpus=None):
@@ -505,7 +705,7 @@ def _cut(schema_key: str, corpus=None):
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
-                segmenter = shared or Segmenter(dict(zip(row.tokens, row.kinds)) if row.tokens is not None else {})
+                segmenter = shared or Segmenter(dict(zip(row.tokens, row.bits)) if row.tokens is not None else {})
                 rows += [(row.doc, k) for k in segmenter.ends(row.text)]
             yield pd.DataFrame(rows, columns=["doc", "end_offset"]).astype({"end_offset": "int64"})
 
@@ -513,28 +713,33 @@ def _cut(schema_key: str, corpus=None):
 
 
 def sentence_ends(documents: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = DECISIONS_BROADCAST) -> DataFrame:
-    """``key, end_offset`` of every sentence of every document, each once.
+    """``key, end_offset`` of every sentence of every document; ``key`` is unique, else each row of it has its own ends.
 
-    The corpus' decisions are broadcast while there are at most ``broadcast_rows`` of them; beyond
-    that each document is joined with the decisions on its own words.  Null and blank texts have no
-    sentence, a placeholder is one; texts of any length are read whole.
+    The corpus' decisions are written once and broadcast while there are at most ``broadcast_rows``
+    of them; beyond that each document is joined with the decisions on its own tokens.  Null and
+    blank texts have no sentence, a placeholder is one; texts of any length are read whole.
     """
     spark = documents.sparkSession
     kind = dict(documents.dtypes)[key]
     rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    decisions = corpus_decisions(rows)
-    few = decisions.limit(broadcast_rows + 1).collect()
-    if len(few) <= broadcast_rows:
-        run, schema = _cut(kind, spark.sparkContext.broadcast({r.token: r.kind for r in few}))
-        return rows.mapInPandas(run, schema).withColumnRenamed("doc", key).distinct()
+    decisions = Scratch(spark).save(corpus_decisions(rows), "decisions")
+    if decisions.count() <= broadcast_rows:
+        run, schema = _cut(kind, spark.sparkContext.broadcast({r.token: r.bits for r in decisions.collect()}))
+        return rows.mapInPandas(run, schema).withColumnRenamed("doc", key)
 
-    def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def own_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [(d, w) for d, t in zip(batch["doc"], batch["text"]) for w in {w.casefold() for w in _WORD.findall(t)}]
+            pairs = [(d, w) for d, t in zip(batch["doc"], batch["text"]) for w in asked_tokens(t)]
             yield pd.DataFrame(pairs, columns=["doc", "token"])
 
-    own = rows.mapInPandas(own_words, f"doc {kind}, token string").join(decisions, "token")
-    lists = own.groupBy("doc").agg(F.collect_list(F.struct("token", "kind")).alias("known"))
-    lists = lists.select(F.col("doc").alias("__doc"), F.col("known.token").alias("tokens"), F.col("known.kind").alias("kinds"))
+    own = rows.mapInPandas(own_tokens, f"doc {kind}, token string").join(decisions, "token")
+    lists = own.groupBy("doc").agg(F.collect_list(F.struct("token", "bits")).alias("known"))
+    lists = lists.select(F.col("doc").alias("__doc"), F.col("known.token").alias("tokens"), F.col("known.bits").alias("bits"))
     run, schema = _cut(kind)
-    return rows.join(lists, F.col("doc") == F.col("__doc"), "left").drop("__doc").mapInPandas(run, schema).withColumnRenamed("doc", key).distinct()
+    return rows.join(lists, F.col("doc") == F.col("__doc"), "left").drop("__doc").mapInPandas(run, schema).withColumnRenamed("doc", key)
+
+
+def asked_tokens(text: str) -> set[str]:
+    """Every token of a text about which its segmentation may ask the corpus."""
+    words = {w.casefold() for w in _WORD.findall(text)}
+    return words | {f"{w} #" for w in words} | {"# #"} | {kind for kind, _ in dot_contexts(text, Tokens(text), (), ())}
