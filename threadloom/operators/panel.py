@@ -50,6 +50,22 @@ def exact_medians(df: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(((at(low) + at(high)) / 2.0).alias("median"))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per key, from counts of each distinct value like ``exact_medians``.
+
+    Distinct values are counted map-side and sorted on disk if need be; no group is held in a buffer.
+    """
+    counts = df.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy("value")
+    rows = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("value").cast("double")))
+    parts = []
+    for name, q in wanted.items():
+        place = F.lit(q) * (F.col("total") - 1)
+        parts += [at(F.floor(place)).alias(f"{name}__a"), at(F.ceil(place)).alias(f"{name}__b"), F.max(place - F.floor(place)).alias(f"{name}__w")]
+    return rows.groupBy(*keys).agg(*parts).select(*keys, *[(F.col(f"{c}__a") + F.col(f"{c}__w") * (F.col(f"{c}__b") - F.col(f"{c}__a"))).alias(c) for c in wanted])
+
+
 def panel(submissions: DataFrame, comments: DataFrame, cutoff: str = "2022-11") -> DataFrame:
     """Both sides on the dense grid with ``comments_per_submission`` and ``months_since`` the cutoff."""
     s, c = submission_cells(submissions), comment_cells(comments)
