@@ -453,25 +453,25 @@ def weighted_change(spark: SparkSession, d: str) -> DataFrame:
 @query
 def twfe_did(spark: SparkSession, d: str) -> DataFrame:
     """Two-way fixed-effects estimates of all outcomes and specifications."""
-    return models.twfe_did(a.stored_panel(spark, d))
+    return rounded(models.twfe_did(a.stored_panel(spark, d)))
 
 
 @query
 def event_study(spark: SparkSession, d: str) -> DataFrame:
     """Event-study estimates per outcome."""
-    return models.event_study(a.stored_panel(spark, d))
+    return rounded(models.event_study(a.stored_panel(spark, d)))
 
 
 @query
 def pretrend(spark: SparkSession, d: str) -> DataFrame:
     """Joint test of leads per outcome."""
-    return models.pretrend_test(a.stored_panel(spark, d))
+    return rounded(models.pretrend_test(a.stored_panel(spark, d)))
 
 
 @query
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     """Baseline estimate without each community in turn."""
-    return models.leave_one_out(a.stored_panel(spark, d))
+    return rounded(models.leave_one_out(a.stored_panel(spark, d)))
 
 
 def structure(spark: SparkSession, d: str, depths: DataFrame) -> DataFrame:
@@ -492,7 +492,7 @@ def moderators(spark: SparkSession, d: str) -> DataFrame:
 @query
 def moderation(spark: SparkSession, d: str) -> DataFrame:
     """Moderation of the effect by concentration, depth and responsiveness before the cutoff."""
-    return models.moderation(a.stored_panel(spark, d), moderators(spark, d), a.MODERATORS)
+    return rounded(models.moderation(a.stored_panel(spark, d), moderators(spark, d), a.MODERATORS))
 
 
 INTERACTION_OUTCOMES = """new_author_share returning_author_share repeat_author_share op_return_share reciprocal_dyad_share
@@ -510,7 +510,13 @@ def interaction_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Effect estimates on all interaction outcomes after the warm-up, with q-values over the outcomes of a model."""
     specs = (models.Spec("unweighted"), models.Spec("community_specific_trends", trends=True))
     fits = models.twfe_did(observed_interactions(spark, d), INTERACTION_OUTCOMES, specs, log=False)
-    return models.bh_fdr(fits, "p_value", ["model"])
+    return rounded(models.bh_fdr(Scratch(spark).save(fits, "fits"), "p_value", ["model"]))
+
+
+@query
+def interaction_events(spark: SparkSession, d: str) -> DataFrame:
+    """Event studies of all interaction outcomes."""
+    return rounded(models.event_study(observed_interactions(spark, d), INTERACTION_OUTCOMES, log=False))
 
 
 @query

@@ -198,7 +198,10 @@ ix as (select im.*, cast(seen >= 6 as int) as author_history_observed, case when
 INTERACTIONS = f"""{WITH}, {INTER_TABLES}
 select subreddit, month, author_history_observed, {', '.join(f"{r6(c)} as {c}" if c.endswith('share') else c for cs in INTER_COLUMNS.values() for c in cs)}, {shown(['bond_index', 'identity_index'])} from ix"""
 
-KEY_PARTS = (("panel", "p", ["comments", "submissions", "comments_per_submission"]), ("responsiveness", "rm", ["reply_rate", "median_latency_hours"]), ("mentions", "kw", ["mention_share"]), ("concentration", "conc", ["gini", "top5_share"]))
+KEY_PARTS = (
+    ("panel", "p", ["comments", "submissions", "comments_per_submission"]), ("responsiveness", "rm", ["reply_rate", "unanswered_rate", "op_followup_rate", "median_latency_hours"]), ("mentions", "kw", ["mention_share"]),
+    ("mentions", "kc", ["comment_mention_share", "submission_mention_share"]), ("concentration", "conc", ["gini", "top5_share"]), ("interactions", "ix", ["bond_index", "identity_index"]),
+)
 KEYWORDS = f"kw as (select subreddit, month, count(*) as texts, cast(sum({hit('text', a.MENTIONS)}) as bigint) as mentions, avg({hit('text', a.MENTIONS)}) as mention_share from t where month is not null group by 1, 2)"
 VALID = f"{q.strip('text')} <> '' and not {placeholder('text')}"
 PARTS = f"list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: {q.strip('x')} <> '')"
@@ -297,10 +300,6 @@ select record_kind, subreddit, month, count(*) as texts, round(avg(chars), 6) as
     "bh_fdr": f"""with {P}, v as (select community_type, subreddit, round(avg(cast(comments > 500 as int)), 6) / 20 + length(subreddit) / 1000.0 as p_value from p group by 1, 2),
 k as (select *, row_number() over (partition by community_type order by p_value) as r, count(*) over (partition by community_type) as n from v)
 select community_type, subreddit, {r6('p_value')} as p_value, round(least(1.0, min(p_value * n / r) over (partition by community_type order by r desc rows between unbounded preceding and current row)), 6) as q_value from k""",
-    "key_results": f"{WITH}, {POSTS}, {RESP}, {P}, {T}, {KEYWORDS}, {COUNTS} "
-    + " union all ".join(
-        f"select {kind()} as community_type, case when month < '{CUT}' then 'pre' else 'post' end as period, '{c}' as measure, round(avg({c}), 6) as value, '{section}' as section from {source} group by 1, 2" for section, source, columns in KEY_PARTS for c in columns
-    ),
     "event_activity": "select event_type, strftime(ts, '%Y-%m-%d') as day, count(*) as n, count(distinct user_id) as users, round(avg(value), 6) as mean_value from events group by 1, 2",
     "nearest_vectors": """with l as (select vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings where label is not null), m as (select label, i, avg(cast(x as double)) as m from l group by 1, 2)
 select vec_id, label, round(sum((cast(x as double) - m) ** 2), 4) as distance from l join m using (label, i) group by 1, 2""",
