@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,14 @@ class Forest:
     below: DataFrame
     rounds: int
     scratch: Scratch
+    parts: list[DataFrame] = field(default_factory=list)
+
+    def gather(self) -> None:
+        """Writes ``ended`` in one part, for it is read several times from here on, and drops the tables of the rounds."""
+        if self.parts:
+            self.ended = self.scratch.save(self.ended, "ended")
+            self.scratch.drop(*self.parts)
+            self.parts = []
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -89,7 +97,7 @@ def resolve_forest(nodes: DataFrame) -> Forest:
     first = first.select("id", F.col("ptr").alias("up"), F.col("a_id").alias("ptr"), state.alias("state"), "root", F.lit(1).cast("long").alias("level"), F.col("id").alias("low"))
     is_open = F.col("state") == OPEN
     current, left = scratch.save_counting(first, "round", is_open)
-    ended, rounds = [current.where(~is_open)], 0
+    ended, rounds, written = [current.where(~is_open)], 0, [current]
     while left:
         opened = current.where(is_open)
         above = prefixed(union_all([opened, *ended]).select("id", "ptr", "state", "root", "level", "low"))
@@ -99,43 +107,46 @@ def resolve_forest(nodes: DataFrame) -> Forest:
         )
         before = left
         current, left = scratch.save_counting(step, "round", is_open)
+        written.append(current)
         rounds += 1
         if left == before:  # nothing ended, so all that is open circles
             break
         ended.append(current.where(~is_open))
     finished = union_all(ended).select("id", F.col("up").alias("ptr"), "state", "root", "level")
 
-    circling = current.where(is_open).select("id", "ptr", "low")
     if not left:
-        none = circling.select("id", F.col("low").alias("cycle_id"))
-        return Forest(nodes, finished, none, none, rounds, scratch)
+        none = nodes.select("id", F.col("id").alias("cycle_id")).where(F.lit(False))
+        return Forest(nodes, finished, none, none, rounds, scratch, written)
+
+    circling = scratch.save(current.where(is_open).select("id", "ptr", "low"), "circling")
 
     def double(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
         """Pointers of twice the length, and how many minima fell."""
         joined = rows.join(prefixed(rows), F.col("ptr") == F.col("a_id"))
         step = joined.select("id", F.col("a_ptr").alias("ptr"), F.least("low", "a_low").alias("low"), (F.col("a_low") < F.col("low")).alias("moved"))
-        after, moved = scratch.save_counting(step, name, F.col("moved"))
-        return after.select("id", "ptr", "low"), moved
+        return scratch.save_counting(step.select("id", "ptr", "low", "moved"), name, F.col("moved"))
 
     image = circling.select("ptr").distinct().count()
     while True:
-        circling, _ = double(circling, "circling")
+        before, (circling, _) = circling, double(circling, "circling")
+        scratch.drop(before)
         rounds += 1
         now = circling.select("ptr").distinct().count()
         if now == image:
             break
         image = now
     tops = circling.select(F.col("ptr").alias("id")).distinct()
-    cycles = scratch.save(circling.join(tops, "id", "left_semi"), "cycles")
+    cycles = scratch.save(circling.join(tops, "id", "left_semi").select("id", "ptr", "low"), "cycles")
     while True:  # until no minimum falls: it then covers the whole circle
-        cycles, moved = double(cycles, "cycles")
+        before, (cycles, moved) = cycles, double(cycles, "cycles")
+        scratch.drop(before)
         rounds += 1
         if not moved:
             break
     cycles = cycles.select("id", F.col("low").alias("cycle_id"))
     outside = circling.join(tops, "id", "left_anti").select("id", "ptr")
     below = outside.join(cycles.select(F.col("id").alias("ptr"), "cycle_id"), "ptr").select("id", "cycle_id")
-    return Forest(nodes, finished, cycles, scratch.save(below, "below"), rounds, scratch)
+    return Forest(nodes, finished, cycles, scratch.save(below, "below"), rounds, scratch, written)
 
 
 def inner_paths(forest: Forest) -> DataFrame:
@@ -166,7 +177,7 @@ def hierarchy(forest: Forest, paths: bool = True) -> DataFrame:
     """
     none = {"state": "string", "root": "string", "level": "long", "path": "array<string>"}
     nothing = [F.lit(None).cast(kind).alias(c) for c, kind in none.items() if c != "state"]
-    forest.ended = forest.scratch.save(forest.ended, "ended")  # read several times from here on, and in one part
+    forest.gather()
     ended = inner_paths(forest) if paths else forest.ended.withColumn("path", F.lit(None).cast("array<string>"))
     inner = ended.select("id", "state", "root", "level", "path", F.lit(None).cast("string").alias("cycle_id"))
     inner = inner.unionByName(forest.cycles.select("id", F.lit(CYCLE).alias("state"), *nothing, "cycle_id"))
@@ -207,9 +218,19 @@ def descendants(nodes: DataFrame) -> DataFrame:
 def with_descendant_counts(nodes: DataFrame) -> DataFrame:
     """Adds ``n_descendants``; null on or below a cycle, where descent is not a tree.
 
-    The nodes are written once, because they are read for their paths and for themselves.
+    Counted level by level in powers of eight and not over pairs: what hangs less than 8k levels below
+    a node is what hangs less than k levels below it or below a node k, 2k, ... or 7k levels down.
+    Every node carries only its ancestors at those distances, so a chain of any length makes no
+    quadratic number of rows.
     """
-    nodes = Scratch(nodes.sparkSession).save(nodes, "nodes")
-    counts = descendants(nodes).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    n = F.when(F.col("path").isNotNull(), F.coalesce("n", F.lit(0)))
-    return nodes.join(counts, "id", "left").withColumn("n_descendants", n).drop("n")
+    scratch = Scratch(nodes.sparkSession)
+    nodes = scratch.save(nodes, "nodes")
+    deepest = int(nodes.agg(F.max(F.when(F.col("path").isNotNull(), F.col("level"))).alias("n")).first().n or 0)
+    steps = [8**k for k in range(deepest.bit_length()) if 8**k < deepest]
+    ancestors = [F.filter(F.array(*[F.when(F.col("level") > j * k, F.try_element_at("path", F.lit(-j * k - 1))) for j in range(1, 8)]), lambda x: x.isNotNull()) for k in steps]
+    counts = nodes.where(F.col("path").isNotNull()).select("id", F.array(*ancestors).cast("array<array<string>>").alias("above"), F.lit(1).cast("long").alias("n"))
+    for k in range(len(steps)):
+        below = counts.select(F.explode(F.col("above")[k]).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("more"))
+        before, counts = counts, scratch.save(counts.join(below, "id", "left").select("id", "above", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "counts")
+        scratch.drop(before)
+    return nodes.join(counts.select("id", (F.col("n") - 1).alias("n_descendants")), "id", "left")
