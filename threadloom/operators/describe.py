@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.columns import month_index
@@ -56,6 +56,17 @@ def top_values(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(k)
 
 
+def rows_of_top(df: DataFrame, column: str, k: int = 15) -> DataFrame:
+    """All rows of the k most frequent values; the k names are few, so the semi-join needs no shuffle."""
+    return df.join(top_values(df, column, k).select(column), column, "left_semi")
+
+
+def folded_order(df: DataFrame, column: str) -> DataFrame:
+    """Each distinct name with its ``place`` in an order without case, then by itself; one row per name of a dimension."""
+    names = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy(F.lower(column), column)))
+
+
 def scan_stats(df: DataFrame, start: int, end: int) -> DataFrame:
     """One row: rows, rows in the window, missing times, time range, distinct names and score statistics."""
     inside = (F.col("created_utc") >= start) & (F.col("created_utc") < end)

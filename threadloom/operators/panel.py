@@ -66,13 +66,21 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, float]) ->
     return rows.groupBy(*keys).agg(*parts).select(*keys, *[(F.col(f"{c}__a") + F.col(f"{c}__w") * (F.col(f"{c}__b") - F.col(f"{c}__a"))).alias(c) for c in wanted])
 
 
-def panel(submissions: DataFrame, comments: DataFrame, cutoff: str = "2022-11") -> DataFrame:
-    """Both sides on the dense grid with ``comments_per_submission`` and ``months_since`` the cutoff."""
+def panel(submissions: DataFrame, comments: DataFrame, buckets: DataFrame, kind: F.Column, cutoff: str = "2022-11") -> DataFrame:
+    """Both sides on the dense grid with depth, concentration, community type, ``comments_per_submission`` and ``months_since`` the cutoff.
+
+    ``buckets`` are the depth buckets of the comments.  Concentration counts the comments' valid authors.
+    """
     s, c = submission_cells(submissions), comment_cells(comments)
-    rows = on_grid(on_grid(dense_grid(s, c), s), c)
+    deep = buckets.where((F.col("subreddit") != "ALL") & (F.col("month") != "unknown")).select(*CELL, "mean_depth", "threading_ratio", "max_depth")
+    names = {"top_1pct_share": "pct1_share", "next_9pct_share": "pct9_share", "last_90pct_share": "pct90_share"}
+    shares = concentration(author_month_counts(comments)).drop("total_comments", "unique_authors").withColumnsRenamed(names)
+    rows = dense_grid(s, c)
+    for cells in (s, c, deep, shares):
+        rows = on_grid(rows, cells)
     year, month = int(cutoff[:4]), int(cutoff[5:])
     since = (F.substring("month", 1, 4).cast("int") - year) * 12 + F.substring("month", 6, 2).cast("int") - month
-    return rows.withColumns({"comments_per_submission": share(F.col("comments"), F.col("submissions")), "months_since": since, "post": (F.col("month") >= cutoff).cast("int")})
+    return rows.withColumns({"community_type": kind, "comments_per_submission": share(F.col("comments"), F.col("submissions")), "months_since": since, "post": (F.col("month") >= cutoff).cast("int")})
 
 
 def author_month_counts(comments: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import stats
 from threadloom.functions.columns import share
+from threadloom.operators.panel import exact_quantiles
 
 
 def resilience_profiles(buckets: DataFrame, months: DataFrame, cutoff: str = "2022-11", least_pre: int = 3, least_post: int = 3, least_comments: float = 10.0) -> DataFrame:
@@ -34,11 +35,12 @@ def resilience_profiles(buckets: DataFrame, months: DataFrame, cutoff: str = "20
 
 def median_split(df: DataFrame, column: str, name: str = "group") -> DataFrame:
     """Adds ``high`` for values at or above the median, ``low`` below; all alike are split at the middle by rank."""
-    stats = df.agg(F.percentile(F.col(column), F.lit(0.5)).alias("m"), F.min(column).alias("a"), F.max(column).alias("b"), F.count(F.lit(1)).alias("n"))
+    middle = exact_quantiles(df.select(F.lit(0).alias("one"), F.col(column).alias("value")), ["one"], {"m": 0.5})
+    stats = df.agg(F.min(column).alias("a"), F.max(column).alias("b"), F.count(F.lit(1)).alias("n"))
     order = Window.orderBy(column, "subreddit")  # one row per community
     by_rank = F.row_number().over(order) > F.floor(stats.select("n").scalar() / 2)
     flat = stats.select("a").scalar() == stats.select("b").scalar()
-    return df.withColumn(name, F.when(F.when(flat, by_rank).otherwise(F.col(column) >= stats.select("m").scalar()), "high").otherwise("low"))
+    return df.withColumn(name, F.when(F.when(flat, by_rank).otherwise(F.col(column) >= middle.select("m").scalar()), "high").otherwise("low"))
 
 
 def indexed_trend(profiles: DataFrame, buckets: DataFrame, column: str = "threading_ratio") -> DataFrame:

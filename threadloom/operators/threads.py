@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.columns import share, strip, valid_author
 from threadloom.operators import trees
+from threadloom.operators.panel import exact_quantiles
 
 CELL = ["subreddit", "month"]
 
@@ -72,15 +73,15 @@ def post_metrics(submissions: DataFrame, comments: DataFrame, depths: DataFrame)
 def monthly_responsiveness(posts: DataFrame) -> DataFrame:
     """Per community and month of the post: reply and follow-up rates, latency quartiles over replied posts, means and medians."""
     replied = F.col("num_comments_observed") > 0
-    hours = F.when(replied, F.col("first_reply_latency_minutes") / 60.0)
     rows = posts.where(F.col("month").isNotNull())
     out = rows.groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("posts"), F.avg(replied.cast("int")).alias("reply_rate"), F.avg((F.col("op_followup_comments") > 0).cast("int")).alias("op_followup_rate"),
-        F.percentile(hours, F.lit(0.5)).alias("median_latency_hours"), F.percentile(hours, F.lit(0.25)).alias("p25_latency_hours"), F.percentile(hours, F.lit(0.75)).alias("p75_latency_hours"),
-        F.avg("num_comments_observed").alias("mean_comments"), F.percentile(F.col("num_comments_observed"), F.lit(0.5)).alias("median_comments"), F.avg("unique_commenters").alias("mean_commenters"),
+        F.avg("num_comments_observed").alias("mean_comments"), F.avg("unique_commenters").alias("mean_commenters"),
         F.avg("direct_reply_count").alias("mean_direct_replies"), F.avg("deep_reply_count").alias("mean_deep_replies"), F.avg("max_depth").alias("mean_max_depth"),
     )
-    return out.withColumn("unanswered_rate", 1 - F.col("reply_rate")).fillna(0.0)
+    hours = exact_quantiles(rows.where(replied).select(*CELL, (F.col("first_reply_latency_minutes") / 60.0).alias("value")), CELL, {"median_latency_hours": 0.5, "p25_latency_hours": 0.25, "p75_latency_hours": 0.75})
+    counts = exact_quantiles(rows.select(*CELL, F.col("num_comments_observed").alias("value")), CELL, {"median_comments": 0.5})
+    return out.join(hours, CELL, "left").join(counts, CELL, "left").withColumn("unanswered_rate", 1 - F.col("reply_rate")).fillna(0.0)
 
 
 def thread_structure(posts: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.columns import author_as_written, compare_name, epoch_month, post_key, share, valid_author
 from threadloom.operators import communities, threads
+from threadloom.session import Scratch
 from threadloom.sources.canonical import load
-from threadloom.sources.tables import table
+from threadloom.sources.tables import file_marks, table
 
 FIRST_MONTH, LAST_MONTH = "2022-01", "2023-12"
 WINDOW = (1648771200, 1680307200)  # April 2022 to March 2023
@@ -64,6 +65,18 @@ def calendar(cells: DataFrame) -> DataFrame:
     return cells.select("month").where(F.col("month") != "unknown").distinct()
 
 
+_DEPTHS: dict[tuple, DataFrame] = {}
+
+
+def depths(spark: SparkSession, d: str) -> DataFrame:
+    """Depth of every comment below a post, resolved once per session for all queries that need it; anew when the files changed."""
+    path = f"{d}/comments.parquet"
+    key = (spark.sparkContext.applicationId, path, *file_marks(spark, path))
+    if key not in _DEPTHS:
+        _DEPTHS[key] = Scratch(spark).save(threads.comment_depths(load(spark, d)[1]), "depths")
+    return _DEPTHS[key]
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """documents with compared name, month and the kind of record."""
 

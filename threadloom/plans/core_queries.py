@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.columns import month_index, shard_of
+from threadloom.functions.columns import month_index, shard_of, strip
 from threadloom.operators import capacity, content, describe, models, panel, resilience, threads
 from threadloom.plans import adapters as a
 from threadloom.session import Scratch
 from threadloom.sources.canonical import load
-from threadloom.sources.jsonl import months_between
+from threadloom.sources.jsonl import months_between, scan_report
 from threadloom.sources.tables import table
 
 WARM_UP = 6  # months in which nearly all authors look new
@@ -33,8 +33,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def panel_base(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: comments and submissions, authors, lengths, removals and scores per community and month on the dense grid."""
-    return rounded(panel.panel(*load(spark, d)))
+    """Flagship: comments and submissions, authors, lengths, removals, scores, depth and concentration per community and month on the dense grid."""
+    s, c = load(spark, d)
+    return rounded(panel.panel(s, c, threads.depth_buckets(c, a.depths(spark, d)), a.community_type(F.col("subreddit"))))
 
 
 @query
@@ -67,6 +68,31 @@ def top_authors(spark: SparkSession, d: str) -> DataFrame:
     return describe.top_values(load(spark, d)[1], "author", 20)
 
 
+@query
+def top_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Comments per month of the 15 communities with most of them."""
+    return describe.rows_of_top(load(spark, d)[1].where("month is not null"), "subreddit").groupBy("subreddit", "month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def top_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The ten communities with most mentions of the pattern."""
+    t = a.texts(spark, d)
+    return describe.top_values(t.where(content.flag(F.col("text"), a.MENTIONS) == 1), "subreddit", 10)
+
+
+@query
+def community_order(spark: SparkSession, d: str) -> DataFrame:
+    """Community names as written, in an order without case."""
+    return describe.folded_order(table(spark, d, "submissions").select(strip(F.col("subreddit")).alias("subreddit")), "subreddit")
+
+
+@query
+def raw_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines, blank lines, parse errors and missing fields per feed of the raw lines."""
+    return scan_report(table(spark, d, "raw_submissions").select("feed", "payload"), ["feed"], "payload")
+
+
 @query
 def scan_stats(spark: SparkSession, d: str) -> DataFrame:
     """Scan statistics of the comments."""
@@ -119,19 +145,19 @@ def half_change(spark: SparkSession, d: str) -> DataFrame:
 @query
 def comment_depth(spark: SparkSession, d: str) -> DataFrame:
     """Depth of every comment below a post."""
-    return threads.comment_depths(load(spark, d)[1])
+    return a.depths(spark, d)
 
 
 @query
 def depth_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Depth statistics per community and month, and over all communities."""
     c = load(spark, d)[1]
-    return rounded(threads.depth_buckets(c, threads.comment_depths(c)))
+    return rounded(threads.depth_buckets(c, a.depths(spark, d)))
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
     s, c = load(spark, d)
-    return threads.post_metrics(s, c, threads.comment_depths(c))
+    return threads.post_metrics(s, c, a.depths(spark, d))
 
 
 @query
@@ -150,8 +176,10 @@ def responsiveness_monthly(spark: SparkSession, d: str) -> DataFrame:
 def responsiveness_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Reply rate and median latency over delayed replies per community type and month."""
     hours = F.col("first_reply_latency_minutes") / 60.0
-    rows = posts(spark, d).where(F.col("month").isNotNull()).groupBy(a.community_type(F.col("subreddit")).alias("community_type"), "month")
-    return rounded(rows.agg(F.avg((F.col("num_comments_observed") > 0).cast("int")).alias("reply_rate"), F.percentile(F.when(hours > 0, hours), F.lit(0.5)).alias("median_latency_hours")))
+    keys = ["community_type", "month"]
+    rows = posts(spark, d).where(F.col("month").isNotNull()).select(a.community_type(F.col("subreddit")).alias("community_type"), "month", (F.col("num_comments_observed") > 0).cast("int").alias("replied"), hours.alias("value"))
+    medians = panel.exact_quantiles(rows.where("value > 0"), keys, {"median_latency_hours": 0.5})
+    return rounded(rows.groupBy(*keys).agg(F.avg("replied").alias("reply_rate")).join(medians, keys, "left"))
 
 
 @query
@@ -168,7 +196,7 @@ def commenter_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     s, c = load(spark, d)
-    return threads.reply_edges(s, c, threads.comment_depths(c))
+    return threads.reply_edges(s, c, a.depths(spark, d))
 
 
 @query
@@ -198,7 +226,7 @@ def author_history(spark: SparkSession, d: str) -> DataFrame:
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark)
     s, c = load(spark, d)
-    depths = scratch.save(threads.comment_depths(c), "depths")
+    depths = a.depths(spark, d)
     history = threads.author_history(threads.author_activity(s, c), month_index(F.col("month")))
     shapes = threads.thread_structure(threads.post_metrics(s, c, depths))
     pairs = threads.dyads(threads.reply_edges(s, c, depths))
@@ -320,7 +348,7 @@ def order_free_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def buckets(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d)[1]
-    return threads.depth_buckets(c, threads.comment_depths(c))
+    return threads.depth_buckets(c, a.depths(spark, d))
 
 
 def profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -373,7 +401,7 @@ def smallest_p_values(spark: SparkSession, d: str) -> DataFrame:
 
 def growth(spark: SparkSession, d: str) -> DataFrame:
     columns = ("threading_ratio", "gini", "top5_share")
-    cells = structure(spark, d, threads.comment_depths(load(spark, d)[1])).select("subreddit", "month", *columns)
+    cells = structure(spark, d, a.depths(spark, d)).select("subreddit", "month", *columns)
     rows = a.stored_panel(spark, d).join(cells, ["subreddit", "month"], "left")
     early = interactions(spark, d).where((F.col("author_history_observed") == 1) & (F.col("month") < models.CUTOFF))
     means = early.groupBy("subreddit").agg(*[F.avg(c).alias(f"pre_{c}") for c in ("bond_index", "identity_index", "reciprocal_dyad_share")])
@@ -392,6 +420,19 @@ def growth_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resilience.growth_summary(growth(spark, d)))
 
 
+@query
+def panel_context(spark: SparkSession, d: str) -> DataFrame:
+    """The stored panel with mentions, text measures of comments and responsiveness; what a cell lacks is 0."""
+    t = a.texts(spark, d).where("month is not null")
+    mentions = content.keyword_mentions(t, ["subreddit", "month"], F.col("text"), a.MENTIONS)
+    words = content.text_metrics(t.where("record_kind = 'comment'"), ["subreddit", "month"], F.col("text"), a.PATTERNS).select("subreddit", "month", "mean_length", "question_share", "punctuation_per_char")
+    answers = threads.monthly_responsiveness(posts(spark, d)).select("subreddit", "month", "reply_rate", "median_latency_hours")
+    rows = a.stored_panel(spark, d).select("subreddit", "month", "comments", "submissions")
+    for cells in (mentions, words, answers):
+        rows = describe.on_grid(rows, cells)
+    return rounded(rows)
+
+
 @query
 def balanced_panel(spark: SparkSession, d: str) -> DataFrame:
     """Communities that have comments in every month of the stored panel."""
@@ -484,7 +525,7 @@ def structure(spark: SparkSession, d: str, depths: DataFrame) -> DataFrame:
 def moderators(spark: SparkSession, d: str) -> DataFrame:
     """Concentration, depth and responsiveness on the cells of the stored panel; what a cell lacks is 0."""
     s, c = load(spark, d)
-    depths = Scratch(spark).save(threads.comment_depths(c), "depths")
+    depths = a.depths(spark, d)
     monthly = threads.monthly_responsiveness(threads.post_metrics(s, c, depths))
     return describe.on_grid(structure(spark, d, depths), monthly).select("subreddit", "month", *a.MODERATORS)
 

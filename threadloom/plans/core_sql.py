@@ -60,16 +60,24 @@ def calendar(parts: str) -> str:
 grid as (select subreddit, printf('%04d-%02d', k // 12, k % 12 + 1) as month from names, ends, range(0, 40000) t(k) where k between lo and hi)"""
 
 
-COUNTS = f"""mc as (select subreddit, month, author, sum(n) as n from (select {q.name('subreddit')} as subreddit, month, {written('author')} as author, coalesce(comment_count, 0) as n from author_counts)
-  where subreddit is not null and month is not null and author is not null group by 1, 2, 3 having sum(n) > 0),
-rk as (select *, row_number() over (partition by subreddit, month order by n desc, author) as r, row_number() over (partition by subreddit, month order by n, author) as up,
-  count(*) over (partition by subreddit, month) as k, sum(n) over (partition by subreddit, month) as t from mc),
-conc as (select subreddit, month, cast(max(t) as bigint) as total_comments, max(k) as unique_authors,
+def shares(rows: str, p: str = "") -> str:
+    """CTEs from counts per community, month and author to the shares ``conc``; ``p`` begins the names of all of them."""
+    return f"""{p}mc as ({rows}),
+{p}rk as (select *, row_number() over (partition by subreddit, month order by n desc, author) as r, row_number() over (partition by subreddit, month order by n, author) as up,
+  count(*) over (partition by subreddit, month) as k, sum(n) over (partition by subreddit, month) as t from {p}mc),
+{p}conc as (select subreddit, month, cast(max(t) as bigint) as total_comments, max(k) as unique_authors,
   {ratio('sum(n) filter (r <= 1)', 'max(t)')} as top1_share, {ratio('sum(n) filter (r <= 5)', 'max(t)')} as top5_share, {ratio('sum(n * n)', 'max(t) * max(t)')} as hhi,
   {ratio('sum((2 * up - k - 1) * n)', 'max(k) * max(t)')} as gini,
   {ratio('sum(n) filter (r <= greatest(1, ceil(k * 0.01)))', 'max(t)')} as top_1pct_share,
   {ratio('sum(n) filter (r > greatest(1, ceil(k * 0.01)) and r <= greatest(greatest(1, ceil(k * 0.01)) + 1, ceil(k * 0.1)))', 'max(t)')} as next_9pct_share,
-  {ratio('sum(n) filter (r > greatest(greatest(1, ceil(k * 0.01)) + 1, ceil(k * 0.1)))', 'max(t)')} as last_90pct_share from rk group by 1, 2)"""
+  {ratio('sum(n) filter (r > greatest(greatest(1, ceil(k * 0.01)) + 1, ceil(k * 0.1)))', 'max(t)')} as last_90pct_share from {p}rk group by 1, 2)"""
+
+
+COUNTS = shares(
+    f"select subreddit, month, author, sum(n) as n from (select {q.name('subreddit')} as subreddit, month, {written('author')} as author, coalesce(comment_count, 0) as n from author_counts) "
+    "where subreddit is not null and month is not null and author is not null group by 1, 2, 3 having sum(n) > 0"
+)
+OWN_COUNTS = shares(f"select subreddit, month, {written('author')} as author, count(*) as n from c where month is not null and {written('author')} is not null group by 1, 2, 3", "own_")
 
 FIRST = "fp as (select sid, subreddit, author as op, created_utc as posted, month from (select *, row_number() over (partition by sid order by created_utc is null, created_utc, author nulls first, subreddit) as rn from s where sid is not null) where rn = 1)"
 POSTS = f"""{FIRST},
@@ -221,10 +229,23 @@ go as (select *, row_number() over (order by comment_growth, subreddit) / cast(c
 gr as (select *, case when place <= 1 / 3.0 then 'declining' when place <= 2 / 3.0 then 'stable' else 'growing' end as growth_group from go)"""
 
 _ROUNDED = {
-    "panel_base": f"""{PLAIN}, {CELLS}, {calendar("select subreddit, month from sc union all select subreddit, month from cc")}
+    "panel_base": f"""{WITH}, {CELLS}, {BUCKETS}, {OWN_COUNTS}, {calendar("select subreddit, month from sc union all select subreddit, month from cc")}
 select grid.subreddit, grid.month, {', '.join(f'round(coalesce({t}.{c}, 0), 6) as {c}' if c.startswith(('mean', 'removed', 'median')) else f'coalesce({t}.{c}, 0) as {c}' for t, cs in zip(('sc', 'cc'), PANEL_COLUMNS) for c in cs)}, cast(0.0 as double) as mean_selftext_length,
-  round({ratio('coalesce(comments, 0)', 'coalesce(submissions, 0)')}, 6) as comments_per_submission, {idx('grid.month')} - {2022 * 12 + 10} as months_since, cast(grid.month >= '2022-11' as int) as post
-from grid left join sc on sc.subreddit = grid.subreddit and sc.month = grid.month left join cc on cc.subreddit = grid.subreddit and cc.month = grid.month""",
+  round(coalesce(mean_depth, 0), 6) as mean_depth, round(coalesce(threading_ratio, 0), 6) as threading_ratio, coalesce(max_depth, 0) as max_depth,
+  {', '.join(f'round(coalesce({c}, 0), 6) as {n}' for c, n in (('top1_share', 'top1_share'), ('top5_share', 'top5_share'), ('hhi', 'hhi'), ('gini', 'gini'), ('top_1pct_share', 'pct1_share'), ('next_9pct_share', 'pct9_share'), ('last_90pct_share', 'pct90_share')))},
+  {kind('grid.subreddit')} as community_type, round({ratio('coalesce(comments, 0)', 'coalesce(submissions, 0)')}, 6) as comments_per_submission, {idx('grid.month')} - {2022 * 12 + 10} as months_since, cast(grid.month >= '2022-11' as int) as post
+from grid left join sc on sc.subreddit = grid.subreddit and sc.month = grid.month left join cc on cc.subreddit = grid.subreddit and cc.month = grid.month
+left join db on db.subreddit = grid.subreddit and db.month = grid.month left join own_conc on own_conc.subreddit = grid.subreddit and own_conc.month = grid.month""",
+    "top_trend": f"{PLAIN} select subreddit, month, count(*) as n from c where month is not null and subreddit in (select subreddit from c where month is not null group by 1 order by count(*) desc, subreddit limit 15) group by 1, 2",
+    "top_mentions": f"with {T} select subreddit, count(*) as n from t where {hit('text', a.MENTIONS)} = 1 group by 1 order by n desc, subreddit limit 10",
+    "community_order": f"select subreddit, row_number() over (order by lower(subreddit), subreddit) as place from (select distinct {q.strip('subreddit')} as subreddit from submissions where subreddit is not null)",
+    "raw_scan": """with v as (select feed, trim(coalesce(payload, ''), ' \t\r\n\ufeff') as p from raw_submissions), o as (select feed, p, case when json_valid(p) then json_type(p) = 'OBJECT' else false end as ok from v)
+select feed, count(*) as lines, count(*) filter (p = '') as blank, count(*) filter (p <> '' and not ok) as parse_errors, count(*) filter (ok and coalesce(json_extract_string(case when ok then p end, '$.created_utc'), '') = '') as missing_time,
+  count(*) filter (ok and json_extract_string(case when ok then p end, '$.subreddit') is null and json_extract_string(case when ok then p end, '$.subreddit_name_prefixed') is null) as missing_community from o group by 1""",
+    "panel_context": f"""{WITH}, {POSTS}, {RESP}, {P}, {T}, {KEYWORDS}, tc as (select subreddit, month, avg(length(text)) as mean_length, avg({hit('text', a.PATTERNS['question'])}) as question_share,
+  {ratio("sum(length(regexp_replace(text, '[^[:punct:]]', '', 'g')))", 'sum(length(text))')} as punctuation_per_char from t where month is not null and record_kind = 'comment' and text is not null and {VALID} group by 1, 2)
+select p.subreddit, p.month, comments, submissions, coalesce(texts, 0) as texts, coalesce(mentions, 0) as mentions, {', '.join(f'round(coalesce({c}, 0), 6) as {c}' for c in ('mention_share', 'mean_length', 'question_share', 'punctuation_per_char', 'reply_rate', 'median_latency_hours'))}
+from p left join kw on kw.subreddit = p.subreddit and kw.month = p.month left join tc on tc.subreddit = p.subreddit and tc.month = p.month left join rm on rm.subreddit = p.subreddit and rm.month = p.month""",
     "describe_counts": f"with {S} {LEVEL.format('all', 'cast(null as varchar)', 'cast(null as varchar)')} union all {LEVEL.format('community', 'subreddit', 'null')} group by subreddit union all {LEVEL.format('month', 'null', 'month')} where month is not null group by month union all {LEVEL.format('community_month', 'subreddit', chr(99) + 'oalesce(month, ' + chr(39) + 'unknown' + chr(39) + ')')} group by subreddit, coalesce(month, 'unknown')",
     "describe_pivot": f"""with {S}, w as (select subreddit, {', '.join(f"count(*) filter (month = '{m}') as m{k}" for k, m in enumerate(MONTHS))} from s where month is not null group by 1),
 u as (select * from w union all select 'ALL', {', '.join(f'cast(sum(m{k}) as bigint)' for k in range(len(MONTHS)))} from w)

@@ -8,13 +8,18 @@ import io
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+import shutil
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.columns import epoch_month, epoch_seconds, shard_of, strip
+from threadloom.operators.drift import with_document
+from threadloom.session import Scratch
+from threadloom.sources.reports import write_manifest
 
 WINDOW = 1 << 31  # archives use longer windows than the built-in codec allows
 BATCH_LINES = 20_000
@@ -32,14 +37,30 @@ def target_paths(root: str, kind: str, first: str, last: str) -> list[str]:
     return [f"{root}/{kind}/{PREFIXES[kind]}_{m}.zst" for m in months_between(first, last)]
 
 
-def find_raw(root: str, kind: str, months: Sequence[str] | None = None) -> list[str]:
-    """Existing monthly archives, sorted; with ``months`` only those, and a missing one is an error."""
+def find_raw(root: str, kind: str, months: Sequence[str] | None = None, missing: str = "error") -> list[str]:
+    """Existing monthly archives, sorted; with ``months`` only those.
+
+    A month without archive is an error, or with ``missing`` = warn it is named in a warning and left out.
+    """
     found = {m[1]: p for p in sorted(glob.glob(f"{root}/{kind}/{PREFIXES[kind]}_*.zst")) if (m := re.search(r"_(\d{4}-\d{2})\.zst$", p))}
     if months is None:
         return list(found.values())
-    if missing := [m for m in months if m not in found]:
-        raise FileNotFoundError(f"no {kind} archive for {', '.join(missing)}")
-    return [found[m] for m in sorted(months)]
+    if absent := [m for m in months if m not in found]:
+        if missing != "warn":
+            raise FileNotFoundError(f"no {kind} archive for {', '.join(absent)}")
+        warnings.warn(f"no {kind} archive for {', '.join(absent)}", stacklevel=2)
+    return [found[m] for m in sorted(months) if m in found]
+
+
+def matching_submissions(comment_paths: Sequence[str]) -> list[str]:
+    """The filtered submission files that lie beside filtered comment files under the same name, each once, in their order."""
+    out = []
+    for path in comment_paths:
+        folder, name = os.path.split(path)
+        other = os.path.join(folder, name.replace("filter-comments-", "filter-submissions-", 1))
+        if name.startswith("filter-comments-") and os.path.exists(other) and other not in out:
+            out.append(other)
+    return out
 
 
 def find_filtered(folder: str, kind: str) -> list[str]:
@@ -95,6 +116,19 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.select(*lines.columns, *[F.try_variant_get("__v", f"$.{f}", "string").alias(f) for f in FIELDS])
 
 
+def scan_report(lines: DataFrame, keys: Sequence[str] = ("file",), value: str = "value") -> DataFrame:
+    """Per key: lines, blank ones, those that are no JSON object (``parse_errors``) and records without time or community."""
+    text = F.trim(F.coalesce(F.col(value), F.lit("")), F.lit(" \t\r\n\ufeff"))
+    seen = with_document(lines, value)
+    blank, parsed = text == "", F.col("__v").isNotNull()
+    field = lambda f: F.try_variant_get("__v", f"$.{f}", "string")
+    count = lambda rule: F.sum(rule.cast("long"))
+    return seen.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("lines"), count(blank).alias("blank"), count(~blank & ~parsed).alias("parse_errors"), count(parsed & (F.coalesce(field("created_utc"), F.lit("")) == "")).alias("missing_time"),
+        count(parsed & F.coalesce(field("subreddit"), field("subreddit_name_prefixed")).isNull()).alias("missing_community"),
+    )
+
+
 def community_of(prefixed: Column, plain: Column) -> Column:
     """Lower-case community: the prefixed name without ``r/``, else the plain one."""
     first = F.regexp_replace(F.lower(strip(prefixed)), "^/?r/", "")
@@ -120,6 +154,11 @@ def file_stats(lines: DataFrame, kept: DataFrame) -> DataFrame:
     return read.join(out, "file", "left").fillna({"rows_written": 0})
 
 
+def filtered_path(folder: str, kind: str, tag: str, path: str) -> str:
+    """Where the kept lines of one input file go."""
+    return f"{folder}/filter-{kind}-{tag}-{os.path.basename(path).split('.')[0]}.jsonl.zst"
+
+
 def write_filtered(kept: DataFrame, folder: str, kind: str, tag: str) -> DataFrame:
     """Writes the raw lines as zstd JSON lines, one frame per input file, and returns (file, rows).
 
@@ -133,8 +172,7 @@ def write_filtered(kept: DataFrame, folder: str, kind: str, tag: str) -> DataFra
         for batch in batches:
             for path, part in batch.groupby("file", sort=False):
                 if path not in sinks:
-                    name = os.path.basename(path).split(".")[0]
-                    out = f"{folder}/filter-{kind}-{tag}-{name}.jsonl.zst"
+                    out = filtered_path(folder, kind, tag, path)
                     sinks[path] = [zstandard.ZstdCompressor().stream_writer(open(out + ".part", "wb")), out, 0]
                 sinks[path][0].write("".join(v + "\n" for v in part["value"]).encode())
                 sinks[path][2] += len(part)
@@ -148,6 +186,25 @@ def write_filtered(kept: DataFrame, folder: str, kind: str, tag: str) -> DataFra
     return ordered.mapInPandas(run, "file string, rows long")
 
 
+def write_merged(kept: DataFrame, stats: DataFrame, folder: str, kind: str, tag: str) -> str:
+    """All kept lines in one zstd file beside a manifest of the statistics per input file.
+
+    The frames of the inputs are written by tasks and then joined byte by byte, for frames concatenate.
+    """
+    inputs = [r.file for r in write_filtered(kept, folder, kind, f"{tag}-part").orderBy("file").collect()]  # one row per input file
+    made = [filtered_path(folder, kind, f"{tag}-part", p) for p in inputs]
+    path = f"{folder}/merged-{kind}-{tag}.jsonl.zst"
+    with open(path + ".part", "wb") as out:
+        for part in made:
+            with open(part, "rb") as frame:
+                shutil.copyfileobj(frame, out, 16 << 20)
+    os.replace(path + ".part", path)
+    for part in made:
+        os.remove(part)
+    write_manifest(stats, f"{folder}/manifest.json", output=os.path.basename(path))
+    return path
+
+
 def resume_filter(spark: SparkSession, paths: Sequence[str], progress: str, folder: str, kind: str, tag: str, names: Sequence[str], start: int | None = None, end: int | None = None) -> dict[str, int]:
     """Filters only files that the progress file does not name, and adds them to it; returns rows per new file."""
     done = json.load(open(progress)) if os.path.exists(progress) else {}
@@ -224,6 +281,24 @@ def write_thread_shards(records: DataFrame, kind: str, shards: int, path: str) -
     placed.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
+def read_thread_shards(spark: SparkSession, path: str, shards: Sequence[int] | None = None) -> DataFrame:
+    """Records of the named shards, or of all; only their folders are read."""
+    rows = spark.read.parquet(path)
+    return rows if shards is None else rows.where(F.col("shard").isin(*shards))
+
+
+def by_shard(spark: SparkSession, path: str, shards: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``build`` run shard by shard and united, for results per thread: no thread lies in two shards.
+
+    Each part is written before the next begins, so one shard's work is held at a time.
+    """
+    scratch, whole = Scratch(spark), None
+    for shard in range(shards):
+        part = scratch.save(build(read_thread_shards(spark, path, [shard]).drop("shard")), "shard")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
 def check_table(df: DataFrame, columns: dict[str, str], keys: Sequence[str] = ()) -> list[str]:
     """What is wrong with a stored table: missing columns, other types, no rows, repeated keys."""
     kinds = dict(df.dtypes)

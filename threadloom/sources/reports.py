@@ -8,9 +8,11 @@ import json
 import os
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources.tables import file_marks
+
 REPORT_ROWS = 100_000  # aggregated rows that a single report file may hold
 
 
@@ -51,16 +53,72 @@ def fingerprint(paths: Sequence[str]) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
 
 
-def cached_table(spark, path: str, sources: Sequence[str], version: int, build: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table at ``path``, rebuilt when the fingerprint of its sources or the version changed."""
-    manifest, mark = f"{path}.manifest.json", {"sources": fingerprint(sources), "version": version}
-    if not (os.path.exists(manifest) and json.load(open(manifest)) == mark and os.path.isdir(path)):
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small file on any store, None without one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return "".join(r.value for r in spark.read.text(path, wholetext=True).collect()) if fs.exists(target) else None
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def cached_table(spark: SparkSession, path: str, sources: Sequence[str], version: int, build: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table at ``path``, rebuilt when the marks of its sources or the version changed.
+
+    Table and manifest may lie on any store; the manifest is written last, so a run that dies in the
+    middle leaves no table that looks whole.
+    """
+    manifest = f"{path}.manifest.json"
+    mark = json.dumps({"sources": file_marks(spark, *sources), "version": version}, sort_keys=True)
+    if _read_text(spark, manifest) != mark:
         build().write.mode("overwrite").parquet(path)
-        with open(manifest, "w") as out:
-            json.dump(mark, out)
+        _write_text(spark, manifest, mark)
     return spark.read.parquet(path)
 
 
+def cached_sample(spark: SparkSession, folder: str, kind: str, n: int, seed: int, months: Sequence[str], sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A sample kept under the hash of what it was asked for; drawn anew when its sources changed."""
+    key = hashlib.sha256(f"{kind}-{n}-{seed}-{','.join(months)}".encode()).hexdigest()[:12]
+    return cached_table(spark, f"{folder}/sample-{key}", sources, 1, build)
+
+
+def write_ragged_csv(parts: Sequence[DataFrame], path: str, order: Sequence[str] = ()) -> str:
+    """Records of different columns in one CSV; columns in the order in which they are first seen, missing ones empty.
+
+    Without parts or rows the file is empty.
+    """
+    whole = parts[0] if parts else None
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    rows = bounded_rows(whole, order) if whole is not None else []
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        if rows:
+            writer = csv.writer(out)
+            writer.writerow(whole.columns)
+            writer.writerows([["" if v is None else v for v in row] for row in rows])
+    return path
+
+
+def write_tables(spark: SparkSession, d: str, folder: str, queries: Mapping[str, Callable], tables: Mapping[str, tuple[Sequence[str], Mapping[str, int]]]) -> list[str]:
+    """One CSV per named query, in its order and with its rounding; ``tables`` maps a query to (order, decimals)."""
+    return [write_csv(queries[name](spark, d), f"{folder}/{name}.csv", order, decimals) for name, (order, decimals) in tables.items()]
+
+
+# Long tables with their order and decimals.
+LONG_TABLES = {
+    "describe_counts": (["level", "subreddit", "month"], {}), "depth_buckets": (["subreddit", "month"], {"mean_depth": 4, "threading_ratio": 4}),
+    "responsiveness_monthly": (["subreddit", "month"], {"reply_rate": 4, "unanswered_rate": 4, "op_followup_rate": 4, "median_latency_hours": 3}),
+    "thread_structure": (["subreddit", "month"], {"op_return_share": 4, "multi_actor_share": 4, "focused_share": 4, "distributed_share": 4}),
+    "support_capacity": (["subreddit", "month"], {"effective_helpers": 3, "helper_jaccard": 4}), "resilience_profile": (["subreddit"], {"pct_change": 2, "threading_ratio": 4, "mean_depth": 4}),
+    "indexed_trend": (["group", "month"], {"index": 2}),
+}
+
+
 def markdown_table(df: DataFrame, order: Sequence[str] = (), limit: int = 50) -> str:
     """A table of a small aggregate; at most ``limit`` rows are shown and the rest is counted in a note."""
     rows = bounded_rows(df, order)
