@@ -46,7 +46,7 @@ def value_kind(schema: Column) -> Column:
     """JSON type of a value from its variant schema; null for a JSON null."""
     return (
         F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
-        .when(schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT)$"), "integer").when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "decimal")
+        .when(schema.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "decimal")
     )
 
 
@@ -56,9 +56,9 @@ def file_layouts(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     Every record emits its keys and one entry without a key, so a single pass counts both.  Counting is
     merged map-side, so one file or feed may hold any share of the rows.
     """
-    entry = F.transform(F.map_entries("doc"), lambda e: F.struct(e["key"].alias("field"), value_kind(F.schema_of_variant(e["value"])).alias("kind")))
-    itself = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("kind")))
-    cells = records.select(*FILE, F.inline(F.concat(entry, itself)))
+    itself = F.expr("array(struct(cast(null as string) as key, cast(null as variant) as value))")
+    entries = records.select(*FILE, F.explode(F.concat(F.map_entries("doc"), itself)).alias("e"))
+    cells = entries.select(*FILE, F.col("e.key").alias("field"), value_kind(F.expr("schema_of_variant(e.value)")).alias("kind"))
     counts = scratch.save(cells.groupBy(*FILE, "field", "kind").agg(F.count(F.lit(1)).alias("n")), "counts")
     files = counts.where(F.col("field").isNull()).select(*FILE, F.col("n").alias("n_records"))
     files = files.withColumn("next_file", F.lead("file_no").over(Window.partitionBy("feed").orderBy("file_no")))
@@ -83,14 +83,15 @@ def leaf_values(value: Column) -> Column:
 
     Numbers and numeric text are equal; times in seconds, milliseconds, microseconds or ISO text are
     whole epoch seconds; text is lower case without a leading ``r/``, ``u/`` or ``t3_``-like mark.
-    Only objects and arrays are taken apart as text; a scalar is read as it is.
+    Only objects and arrays are taken apart as text; a scalar is read as it is, in generated code.
     """
+    text = F.try_variant_get(value, "$", "string")
     kind = F.schema_of_variant(value)
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    nested = (text.startswith("{") | text.startswith("[")) & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
     tokens = F.regexp_extract_all(F.to_json(value), F.lit(r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false'), F.lit(0))
-    parts = F.transform(F.filter(tokens, lambda t: ~t.endswith(":")), lambda t: F.regexp_replace(t, r'^"|"$', ""))
-    texts = F.when(nested, parts).otherwise(F.array(F.try_variant_get(value, "$", "string")))
-    return F.array_distinct(F.filter(F.transform(texts, canonical), lambda x: x.isNotNull()))
+    parts = F.transform(F.filter(tokens, lambda t: ~t.endswith(":")), lambda t: canonical(F.regexp_replace(t, r'^"|"$', "")))
+    own = canonical(text)
+    return F.when(nested, F.array_distinct(F.filter(parts, lambda x: x.isNotNull()))).when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<bigint>"))
 
 
 def canonical(text: Column) -> Column:
@@ -122,6 +123,7 @@ def renames(records: DataFrame, changes: DataFrame, files: DataFrame, scratch: S
     wanted = pairs.select(*FILE).distinct()
     previous = files.where(F.col("next_file").isNotNull()).select("feed", "file_no", "next_file")
     touched = wanted.unionByName(previous.join(wanted.withColumnRenamed("file_no", "next_file"), ["feed", "next_file"], "left_semi").select(*FILE)).distinct()
+    touched = scratch.save(touched, "touched")  # one row per file; its size is known when the join is planned
     looked_at = records.join(touched, FILE, "left_semi").select(*RECORD, F.explode("doc").alias("field", "value"))
     cells = scratch.save(looked_at.select(*RECORD, "field", leaf_values(F.col("value")).alias("leaves")).where(F.size("leaves") > 0), "cells")
     later = cells.join(wanted, FILE, "left_semi")
