@@ -25,6 +25,7 @@ class Prior:
     def __init__(self, titles: str, before_number: str, continuing: str, ending: str, before_capital: str, also_words: str):
         self.titles, self.before_number, self.continuing = (frozenset(x.split()) for x in (titles, before_number, continuing))
         self.ending, self.ambiguous_before_capital, self.also_words = (frozenset(x.split()) for x in (ending, before_capital, also_words))
+        self.every = self.titles | self.before_number | self.continuing | self.ending | self.also_words
 
 
 # The prior beside a corpus, asked only where neither the document nor the corpus shows what a token is.
@@ -75,6 +76,8 @@ _THAI_FINAL = ("ครับ", "ค่ะ", "คะ", "จ้ะ", "จ้า")
 _WORD = re.compile(r"[^\W\d_]+")
 _WORD_ALONE = re.compile(r"(?<![\w.])[^\W\d_]+(?!\w|\.\w)")
 _DOT = re.compile(r"(?<![.…\s])\.(?![.…\w])")
+_PLAIN_END = re.compile(r"\.\s+[A-WYZÀ-ÞА-ЯΑ-Ω][^\W\d_]")
+_ONWARD = re.compile(r"(?<![.…\s])\.(?=[,;:]|\s+(?![A-ZÀ-ÞА-ЯΑ-Ω])[^\W_])")
 _FOLLOWING = re.compile(r"(\s*)([^\W\d_]+|\S?)")
 _PLAIN_NUMBER = re.compile(r"(?<=[^\S\n])\d{1,2}(?![\d.]|[,:]\d)")
 _MID_CAPITAL = re.compile(r"(?<=[^\W\d_A-Z] )([A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)")
@@ -211,34 +214,48 @@ class DocumentEvidence:
 
     def __init__(self, text: str, tokens: Tokens, lowercased: bool):
         self.text, self.tokens, self.lowercased = text, tokens, lowercased
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] | None = None
         self.ready = False
 
-    def gather(self) -> None:
-        every = _WORD_ALONE.findall(self.text)
-        self.words = set(every)
+    def read_words(self) -> None:
+        self.every = _WORD_ALONE.findall(self.text)
+        self.words = set(self.every)
         self.names = set(_MID_CAPITAL.findall(self.text))
-        self.counts: dict[str, list[int]] = {}
-        if not self.lowercased:
-            for kind, context in dot_contexts(self.text, self.tokens, self.words, self.names):
-                self.counts.setdefault(kind, [0] * len(CONTEXTS))[context] += 1
-        many = {kind for kind, counts in self.counts.items() if sum(counts) > 1}
-        self.every = Counter(w for w in map(str.casefold, every) if w in many) if many else {}
         self.ready = True
 
+    def gather(self) -> None:
+        """Bits of every kind of token that goes on behind its dot at least twice; no other kind gets any."""
+        self.known = {}
+        if self.lowercased:
+            return
+        text, onward = self.text, Counter()
+        for m in _ONWARD.finditer(text):
+            begin = self.tokens.begin(m.start(), 0)
+            if begin < m.start():
+                onward[kind_of_token(text, self.tokens, begin, m.start(), 0)] += 1
+        many = {kind for kind, n in onward.items() if n > 1 and kind}
+        if not many:
+            return
+        if not self.ready:
+            self.read_words()
+        counts: dict[str, list[int]] = {}
+        for kind, context in dot_contexts(text, self.tokens, self.words, self.names):
+            if kind in many:
+                counts.setdefault(kind, [0] * len(CONTEXTS))[context] += 1
+        every = Counter(w for w in map(str.casefold, self.every) if w in many)
+        for kind, seen in counts.items():
+            self.known[kind] = judge(kind, every[kind], seen, 2) & (BEFORE_LOWER | BEFORE_DIGIT)
+
     def bits(self, kind: str) -> int:
         """What at least two clear occurrences in the document say, else 0."""
-        if not self.ready:
+        if self.known is None:
             self.gather()
-        if kind not in self.known:
-            counts = self.counts.get(kind)
-            self.known[kind] = judge(kind, self.every.get(kind, 0), counts, 2) & (BEFORE_LOWER | BEFORE_DIGIT) if counts and sum(counts) > 1 else 0
-        return self.known[kind]
+        return self.known.get(kind, 0)
 
     def is_common(self, word: str) -> bool | None:
         """True for a word seen in lower case, False for one only seen as a name inside sentences, else None."""
         if not self.ready:
-            self.gather()
+            self.read_words()
         if word.lower() in self.words:
             return True
         return False if word in self.names else None
@@ -382,7 +399,10 @@ class Segmenter:
         for at, last, kind in candidates:
             if last <= opened or last >= end:
                 continue
-            stop = getattr(self, f"_{kind}_end")(text, opened, at, last, end, marks)
+            if kind == "mark" and last == at + 1 and self._plain_end(text, opened, at, end):
+                stop = last
+            else:
+                stop = getattr(self, f"_{kind}_end")(text, opened, at, last, end, marks)
             if stop is None or stop >= end:
                 continue
             if text[opened:stop].strip():
@@ -393,6 +413,17 @@ class Segmenter:
         if text[opened:end].strip():
             out.append(end)
 
+    def _plain_end(self, text: str, opened: int, at: int, end: int) -> bool:
+        """A dot between an ordinary word of at least five letters and a new one with a capital; most dots are such and need no more thought."""
+        if not _PLAIN_END.match(text, at, end):
+            return False
+        begin = self.tokens.begin(at, opened)
+        token = text[begin:at]
+        if at - begin < 5 or not token.isalpha() or token[-1] >= "฀":
+            return False
+        low = token.casefold()
+        return low not in self.prior.every and not self._known(low)
+
     @staticmethod
     def _greek(text: str) -> bool:
         tail = text.rstrip("»\" ")[-1:]
@@ -633,28 +664,33 @@ def word_evidence(texts: Iterable[str]) -> dict[str, list[int]]:
     Documents without capitals show nothing of all this and are left out.
     """
     out: dict[str, list[int]] = defaultdict(lambda: [0] * len(COUNTED))
+    words, names, numbers, dotted = Counter(), Counter(), Counter(), Counter()
     for text in texts:
         if is_lowercased(text):
             continue
-        words = Counter(_WORD_ALONE.findall(text))
-        for w, n in words.items():
-            row = out[w.casefold()]
-            row[0] += n
-            if w.islower():
-                row[1] += n
-        names = _MID_CAPITAL.findall(text)
-        for w in names:
-            out[w.casefold()][2] += 1
+        own, inside = _WORD_ALONE.findall(text), _MID_CAPITAL.findall(text)
+        words.update(own)
+        names.update(inside)
         tokens = Tokens(text)
         for m in _PLAIN_NUMBER.finditer(text):
             first, last = tokens.before(m.start(), 0)
-            if word := text[first:last].rstrip(".").casefold():
-                out[f"{word} #"][0] += 1
-        for kind, context in dot_contexts(text, tokens, words, set(names)):
-            row = out[kind]
-            row[3 + context] += 1
-            if kind[-1] == "#":
-                row[0] += 1
+            numbers[text[first:last]] += 1
+        dotted.update(dot_contexts(text, tokens, set(own), set(inside)))
+    for w, n in words.items():
+        row = out[w.casefold()]
+        row[0] += n
+        if w.islower():
+            row[1] += n
+    for w, n in names.items():
+        out[w.casefold()][2] += n
+    for w, n in numbers.items():
+        if w := w.rstrip(".").casefold():
+            out[f"{w} #"][0] += n
+    for (kind, context), n in dotted.items():
+        row = out[kind]
+        row[3 + context] += n
+        if kind[-1] == "#":
+            row[0] += n
     return out
 
 
