@@ -105,3 +105,12 @@ def test_exact_quantiles(spark):
     got = {r.k: (r.q, r.m) for r in panel.exact_quantiles(df, ["k"], {"q": 0.25, "m": 0.5}).collect()}
     want = {r.k: (r.q, r.m) for r in df.groupBy("k").agg(F.percentile("value", F.lit(0.25)).alias("q"), F.percentile("value", F.lit(0.5)).alias("m")).collect() if r.q is not None}
     assert got == want
+
+
+def test_panel_has_depth_and_concentration(spark):
+    s = spark.createDataFrame([("p", "ADHD", "op", "t", "", 1.0, 1, "2022-06")], "submission_id string, subreddit string, author string, title string, selftext string, score double, created_utc long, month string")
+    rows = [("a", "t3_p", "x"), ("b", "t1_a", "x"), ("c", "t1_b", "y"), ("d", "t3_p", None)]
+    c = spark.createDataFrame([(i, "p", parent, "ADHD", who, "b", 1.0, 2, "2022-06") for i, parent, who in rows], "comment_id string, link string, parent_id string, subreddit string, author string, body string, score double, created_utc long, month string")
+    r = panel.panel(s, c).first()
+    assert (r.mean_depth, r.threading_ratio, r.max_depth, r.community_type) == (1.75, 0.5, 3, "health")
+    assert r.top1_share == pytest.approx(2 / 3) and r.top5_share == 1.0 and r.hhi == pytest.approx(5 / 9) and r.gini == pytest.approx(1 / 6) and r.pct1_share == pytest.approx(2 / 3)

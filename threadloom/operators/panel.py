@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.columns import author_as_written, is_placeholder, share
+from threadloom.operators.communities import community_type
 from threadloom.operators.describe import dense_grid, on_grid
 
 CELL = ["subreddit", "month"]
@@ -66,11 +67,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, float]) ->
     return rows.groupBy(*keys).agg(*parts).select(*keys, *[(F.col(f"{c}__a") + F.col(f"{c}__w") * (F.col(f"{c}__b") - F.col(f"{c}__a"))).alias(c) for c in wanted])
 
 
-def panel(submissions: DataFrame, comments: DataFrame, buckets: DataFrame, kind: F.Column, cutoff: str = "2022-11") -> DataFrame:
+def panel(submissions: DataFrame, comments: DataFrame, buckets: DataFrame | None = None, kind: F.Column | None = None, cutoff: str = "2022-11") -> DataFrame:
     """Both sides on the dense grid with depth, concentration, community type, ``comments_per_submission`` and ``months_since`` the cutoff.
 
-    ``buckets`` are the depth buckets of the comments.  Concentration counts the comments' valid authors.
+    ``buckets`` are the depth buckets of the comments, resolved here unless given; ``kind`` is the
+    community type, by default that of the two study groups.  Concentration counts the comments'
+    valid authors.
     """
+    if buckets is None:
+        from threadloom.operators.threads import comment_depths, depth_buckets
+
+        buckets = depth_buckets(comments, comment_depths(comments))
+    kind = community_type(F.col("subreddit")) if kind is None else kind
     s, c = submission_cells(submissions), comment_cells(comments)
     deep = buckets.where((F.col("subreddit") != "ALL") & (F.col("month") != "unknown")).select(*CELL, "mean_depth", "threading_ratio", "max_depth")
     names = {"top_1pct_share": "pct1_share", "next_9pct_share": "pct9_share", "last_90pct_share": "pct90_share"}

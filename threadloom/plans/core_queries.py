@@ -551,7 +551,7 @@ def interaction_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Effect estimates on all interaction outcomes after the warm-up, with q-values over the outcomes of a model."""
     specs = (models.Spec("unweighted"), models.Spec("community_specific_trends", trends=True))
     fits = models.twfe_did(observed_interactions(spark, d), INTERACTION_OUTCOMES, specs, log=False)
-    return rounded(models.bh_fdr(Scratch(spark).save(fits, "fits"), "p_value", ["model"]))
+    return models.bh_fdr(Scratch(spark).save(rounded(fits), "fits"), "p_value", ["model"])
 
 
 @query

@@ -136,7 +136,9 @@ def effects_of(o: str, match: str) -> str:
 TESTS = f"""{RESILIENCE}, ol as (select count(*) as n, corr(rx, ry) as rho, regr_slope(pct_change, threading_ratio) as slope, regr_r2(pct_change, threading_ratio) as r2 from prr),
 mw as (select count(*) filter (grp = 'high') as n1, count(*) filter (grp = 'low') as n2, sum(ry) filter (grp = 'high') - count(*) filter (grp = 'high') * (count(*) filter (grp = 'high') + 1) / 2.0 as u from prr),
 ti as (select coalesce(sum(cast(c as double) ** 3 - c), 0.0) as tied from (select count(*) as c from prr group by pct_change)),
-sp as (select sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tied / (cast(n1 + n2 as double) * (n1 + n2 - 1)))) as spread, n1, n2, u from mw, ti)"""
+ex as (select count(*) filter (list_sum(list_transform(range(0, 16), lambda j: case when (m >> j) & 1 = 1 then j + 1 else 0 end)) - n1 * (n1 + 1) / 2.0 <= least(u, n1 * n2 - u)) / cast(count(*) as double) as tail
+  from mw, range(0, 65536) x(m) where n1 + n2 <= 16 and m < (1 << cast(n1 + n2 as int)) and bit_count(cast(m as bigint)) = n1),
+sp as (select (select tail from ex) as tail, tied, sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tied / (cast(n1 + n2 as double) * (n1 + n2 - 1)))) as spread, n1, n2, u from mw, ti)"""
 
 CRC = """bits(i, k, v) as (select i, 0, i from range(0, 256) r(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
 tab as (select list(v order by i) as v from bits where k = 8), links as (select link, count(*) as n from c where link is not null group by 1),
@@ -148,13 +150,13 @@ _ROUNDED = {
     "event_study": f"with {P}, {BASE}, {events('b', OUTCOMES, True)} select outcome_name, event_bin, {EVENT_COLUMNS} from ev",
     "leave_one_out": f"""with {P}, {BASE}, one as ({spec_rows('comments', SPECS[0])}), lr as (select n.subreddit as omitted, one.* from one, (select distinct subreddit from one) n where one.subreddit <> n.subreddit), {within('lr', 'omitted')}
 select omitted, {', '.join(f'{r6(x)} as {c}' for c, x in (('estimate', 'estimate'), ('std_error', 'std_error'), ('p_value', two_sided('estimate / nullif(std_error, 0)'))))} from fe""",
-    "interaction_outcomes": f"{OBSERVED}, {INTERACTION_ROWS}, {within('lr', 'outcome_name, model')}, tw as (select outcome_name, model, {FIT}, n_obs, n_communities, n_months from fe), {BH} select outcome_name, model, {shown(['estimate', 'std_error', 'p_value', 'q_value'])}, n_obs, n_communities, n_months from bq",
+    "interaction_outcomes": f"{OBSERVED}, {INTERACTION_ROWS}, {within('lr', 'outcome_name, model')}, tv as (select outcome_name, model, {FIT}, n_obs, n_communities, n_months from fe), tw as (select outcome_name, model, {shown(['estimate', 'std_error', 'p_value'])}, n_obs, n_communities, n_months from tv), {BH} select * exclude (r, n) from bq",
     "interaction_events": f"{OBSERVED}, {events('io', tuple(INTERACTION_OUTCOMES), False)} select outcome_name, event_bin, {EVENT_COLUMNS} from ev",
     "moderation": f"""{WITH}, {POSTS}, {RESP}, {BUCKETS}, {COUNTS}, {P}, {MODERATOR_CELLS}, {MODERATION_ROWS}, every as ({moderated('within_health', 'post * v as x', 'h = 1', ('x',))}
 union all {moderated('triple_interaction', 'h * post * v as x, h * post as x2, post * v as x3', 'true', ('x', 'x2', 'x3'))}) select outcome_name, moderator, model, {shown(['estimate', 'std_error', 'p_value'])}, n_obs, n_communities from every""",
     "smd_balance": f"with {P}, {BASE}, sm as ({effects_of('comments', '')} union all {effects_of('comments', f'left join {feature(chr(99) + 'omments')} tm using (subreddit)')}) select sample, {shown(['health_mean', 'general_mean'])}, round(coalesce((health_mean - general_mean) / nullif(spread, 0), 0.0), 6) as smd from sm",
     "resilience_tests": f"""{TESTS} select 'spearman' as test, n, {r6('rho')} as statistic, {r6(t_tail('rho * sqrt((n - 2) / (1 - rho * rho))', '(n - 2)'))} as p_value from ol
-union all select 'ols_slope', n, {r6('slope')}, {r6(t_tail('sqrt(r2 * (n - 2) / (1 - r2))', '(n - 2)'))} from ol union all select 'mann_whitney_u', n1 + n2, {r6('u')}, {r6(f"least(1.0, {two_sided('((abs(u - n1 * n2 / 2.0) - 0.5) / spread)')})")} from sp""",
+union all select 'ols_slope', n, {r6('slope')}, {r6(t_tail('sqrt(r2 * (n - 2) / (1 - r2))', '(n - 2)'))} from ol union all select 'mann_whitney_u', n1 + n2, {r6('u')}, {r6(f"case when least(n1, n2) <= 8 and tied = 0 and tail is not null then least(1.0, 2 * tail) else least(1.0, {two_sided('((abs(u - n1 * n2 / 2.0) - 0.5) / spread)')}) end")} from sp""",
     "thread_shards": f"{WITH}, {CRC} select cast(xor(crc, 4294967295) % 16 as int) as shard, cast(sum(n) as bigint) as n, count(*) as threads from walk where k = length(link) group by 1",
     "key_results": f"""{WITH}, {INTER_TABLES}, {RESP}, {P}, {T}, {KEYWORDS}, {COUNTS}, {BASE}, lr as ({' union all '.join(f'({spec_rows(o, SPECS[0])})' for o in OUTCOMES)}), {within('lr', 'outcome_name, model')},
 kk as (select record_kind, subreddit, month, avg({hit('text', a.MENTIONS)}) as mention_share from t where month is not null and record_kind is not null group by 1, 2, 3),
