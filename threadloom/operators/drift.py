@@ -78,35 +78,54 @@ def raw_changes(layout: DataFrame, files: DataFrame) -> DataFrame:
     return both.join(later, FILE, "left_semi").select(*FILE, "field", change.alias("change"), "old_kind", "new_kind").where(F.col("change").isNotNull())
 
 
-def leaf_values(value: Column) -> Column:
-    """Hashes of the scalars inside a variant, each in one notation whatever its form.
+def with_leaves(df: DataFrame) -> DataFrame:
+    """Adds ``leaves``: hashes of the scalars inside the variant ``value``, each in one notation whatever its form.
 
     Numbers and numeric text are equal; times in seconds, milliseconds, microseconds or ISO text are
     whole epoch seconds; text is lower case without a leading ``r/``, ``u/`` or ``t3_``-like mark.
-    Only objects and arrays are taken apart as text; a scalar is read as it is, in generated code.
+    Only objects and arrays are taken apart as text.  A scalar goes through one column per step, so
+    that no step is evaluated again for each use of it.
     """
-    text = F.try_variant_get(value, "$", "string")
-    kind = F.schema_of_variant(value)
-    nested = (text.startswith("{") | text.startswith("[")) & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-    tokens = F.regexp_extract_all(F.to_json(value), F.lit(r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false'), F.lit(0))
+    columns = df.columns
+    rows = df.withColumn("__text", F.trim(F.try_variant_get("value", "$", "string")))
+    kind = F.schema_of_variant("value")
+    opens = F.col("__text").startswith("{") | F.col("__text").startswith("[")
+    rows = rows.withColumn("__nested", opens & (kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+    text = F.col("__text")
+    rows = rows.withColumns({"__digits": starts_number(text), "__low": F.lower(text)})
+    rows = rows.withColumn("__whole", F.when(F.col("__digits") & ~F.col("__nested"), plain_number(text)))
+    rows = rows.withColumn("__own", hashed(F.col("__whole"), F.col("__low")))
+    tokens = F.regexp_extract_all(F.to_json("value"), F.lit(r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false'), F.lit(0))
     parts = F.transform(F.filter(tokens, lambda t: ~t.endswith(":")), lambda t: canonical(F.regexp_replace(t, r'^"|"$', "")))
-    own = canonical(text)
-    return F.when(nested, F.array_distinct(F.filter(parts, lambda x: x.isNotNull()))).when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<bigint>"))
+    inside = F.array_distinct(F.filter(parts, lambda x: x.isNotNull()))
+    leaves = F.when(F.col("__nested"), inside).when(F.col("__own").isNotNull(), F.array("__own")).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(*columns, leaves.alias("leaves"))
 
 
-def canonical(text: Column) -> Column:
-    """Hash of a scalar in its one notation; null for null and empty text.  The patterns run only on text that begins like theirs."""
-    text = F.trim(text)
-    digits = F.substring(text, 1, 1).between("0", "9") | text.startswith("-")
-    number = F.when(digits & text.rlike(r"^-?\d[\d.eE+-]*$"), text.try_cast("double"))
+def starts_number(text: Column) -> Column:
+    return F.substring(text, 1, 1).between("0", "9") | text.startswith("-")
+
+
+def plain_number(text: Column) -> Column:
+    """The number or time that a text is, as seconds where it is a time; the patterns run only on text that begins like theirs."""
+    number = F.when(text.rlike(r"^-?\d[\d.eE+-]*$"), text.try_cast("double"))
     dated = (F.length(text) >= 16) & (F.substring(text, 5, 1) == "-") & text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
     moment = F.when(dated, F.unix_timestamp(F.try_to_timestamp(text)).cast("double"))
-    seconds = F.when(F.abs(number) >= 1e14, number / 1e6).when(F.abs(number) >= 1e11, number / 1e3).otherwise(number)
-    whole = F.coalesce(moment, F.when(F.abs(seconds) >= 1e8, F.floor(seconds).cast("double")).otherwise(seconds))
-    low = F.lower(text)
+    seconds = lambda x: F.when(F.abs(x) >= 1e14, x / 1e6).when(F.abs(x) >= 1e11, x / 1e3).otherwise(x)
+    cut = lambda x: F.when(F.abs(x) >= 1e8, F.floor(x).cast("double")).otherwise(x)
+    return F.coalesce(moment, cut(seconds(number)))
+
+
+def hashed(whole: Column, low: Column) -> Column:
     marked = (F.substring(low, 2, 1) == "/") | (F.substring(low, 3, 1) == "_")
     plain = F.when(marked, F.regexp_replace(low, r"^(?:[ru]/|t\d_)", "")).otherwise(low)
-    return F.when(digits & whole.isNotNull(), F.xxhash64(F.lit(1), whole)).when(plain != "", F.xxhash64(F.lit(2), plain))
+    return F.when(whole.isNotNull(), F.xxhash64(F.lit(1), whole)).when(plain != "", F.xxhash64(F.lit(2), plain))
+
+
+def canonical(text: Column) -> Column:
+    """Hash of a scalar in its one notation; null for null and empty text."""
+    text = F.trim(text)
+    return hashed(F.when(starts_number(text), plain_number(text)), F.lower(text))
 
 
 def renames(records: DataFrame, changes: DataFrame, files: DataFrame, scratch: Scratch) -> DataFrame:
@@ -125,7 +144,8 @@ def renames(records: DataFrame, changes: DataFrame, files: DataFrame, scratch: S
     touched = wanted.unionByName(previous.join(wanted.withColumnRenamed("file_no", "next_file"), ["feed", "next_file"], "left_semi").select(*FILE)).distinct()
     touched = scratch.save(touched, "touched")  # one row per file; its size is known when the join is planned
     looked_at = records.join(touched, FILE, "left_semi").select(*RECORD, F.explode("doc").alias("field", "value"))
-    cells = scratch.save(looked_at.select(*RECORD, "field", leaf_values(F.col("value")).alias("leaves")).where(F.size("leaves") > 0), "cells")
+    # filtered when read: a filter before would be moved under the steps and run them twice
+    cells = scratch.save(with_leaves(looked_at).select(*RECORD, "field", "leaves"), "cells").where(F.size("leaves") > 0)
     later = cells.join(wanted, FILE, "left_semi")
     earlier = cells.join(previous, FILE).drop("file_no").withColumnRenamed("next_file", "file_no").join(wanted, FILE, "left_semi")
 
