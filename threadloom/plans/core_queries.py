@@ -144,8 +144,8 @@ def half_change(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def comment_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Depth of every comment below a post."""
-    return a.depths(spark, d)
+    """Depth of every comment below a post, resolved on every call."""
+    return threads.comment_depths(load(spark, d)[1])
 
 
 @query
